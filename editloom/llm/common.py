@@ -112,3 +112,25 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 def part_of(id_columns: list[str], parts: Column | int, seed: int) -> Column:
     """A part from 0 to parts - 1 by a hash of the columns."""
     return F.pmod(F.xxhash64(F.lit(seed), *(F.col(c) for c in id_columns)), parts)
+
+
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+_KIND[_SEPARATOR] = 0
+
+
+def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each run of letters and digits, and of each run of ASCII punctuation."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    kind = _KIND[data]
+    opens, closes = kind > 0, kind > 0
+    same = kind[1:] == kind[:-1]
+    opens[1:] &= ~same
+    closes[:-1] &= ~same
+    edge = offsets[:-1][offsets[:-1] < len(data)]
+    opens[edge] = kind[edge] > 0
+    last = offsets[1:][offsets[1:] > 0] - 1
+    closes[last] = kind[last] > 0
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return start, end, np.searchsorted(offsets, start, "right") - 1
