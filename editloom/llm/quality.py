@@ -21,9 +21,9 @@ BUCKETS = 1 << 16
 #: The most labelled rows that the target model and the cut are fitted on (those with the least hashes of doc_id).
 LABELLED = 16_384
 #: N-grams of one text count as at most this many independent ones.
-EFFECTIVE = 256
+EFFECTIVE = 64
 #: What a lost clean text costs, in junk texts that stay.
-CLEAN_COST = 4.0
+CLEAN_COST = 20.0
 SEED = 42
 
 
@@ -98,10 +98,10 @@ class ImportanceModel:
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
-    """(doc_id, good, fit): up to ``most`` labelled documents; half fit the target model, half the cut."""
+    """(doc_id, good, fit): up to ``most`` labelled documents; three in four fit the target model, the others the cut."""
     once = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
     h = F.xxhash64(F.lit(seed), "doc_id")
-    return once.orderBy(h, "doc_id").limit(most).select("doc_id", "good", (F.pmod(F.shiftright(h, 7), F.lit(2)) == 0).alias("fit"))
+    return once.orderBy(h, "doc_id").limit(most).select("doc_id", "good", (F.pmod(F.shiftright(h, 7), F.lit(4)) > 0).alias("fit"))
 
 
 def best_cut(keys: np.ndarray, good: np.ndarray, clean_cost: float = CLEAN_COST) -> float:
