@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from editloom.llm import simhash
+from editloom.llm import bpe, mixing, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_importance_resampling": quality.op1,
+        "op2_mix_sources": mixing.op2,
         "op5_simhash_near_dedup": simhash.op5,
+        "op7_bpe_trie": bpe.op7,
     }
 
 
