@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from editloom.llm import bpe, mixing, quality, simhash
+from editloom.llm import bpe, mixing, polytope, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2,
         "op5_simhash_near_dedup": simhash.op5,
         "op7_bpe_trie": bpe.op7,
+        "op10_polytope_near_dedup": polytope.op10,
     }
 
 
