@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from editloom.llm import bpe, mixing, polytope, quality, simhash
+from editloom.llm import bpe, bloom, mixing, polytope, quality, rabitq, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_importance_resampling": quality.op1,
         "op2_mix_sources": mixing.op2,
+        "op4_rabitq_neighbours": rabitq.op4,
         "op5_simhash_near_dedup": simhash.op5,
         "op7_bpe_trie": bpe.op7,
+        "op8_hypergeometric_shards": sharding.op8,
+        "op9_bloom_cascade": bloom.op9,
         "op10_polytope_near_dedup": polytope.op10,
     }
 
