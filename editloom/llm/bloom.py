@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +186,7 @@ def filter_urls(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS, url: s
 def _per_list(lists: pa.Array, cascade: Cascade) -> pa.Array:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     found = pa.array(cascade.contains(flat.view(np.uint64)) if len(flat) else np.zeros(0, bool), pa.bool_())
-    ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,7 +207,7 @@ def _model(source: str) -> WordBpe:
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of rows with about RUN_CHARS characters."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     a, n = 0, 0
     for k, size in enumerate(sizes):
         n += size

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from editloom.llm import bpe, bloom, mixing, polytope, quality, rabitq, sharding, simhash
+from editloom.llm import bloom, bpe, html, mixing, polytope, quality, rabitq, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_importance_resampling": quality.op1,
         "op2_mix_sources": mixing.op2,
+        "op3_html_layout": html.op3,
         "op4_rabitq_neighbours": rabitq.op4,
         "op5_simhash_near_dedup": simhash.op5,
         "op7_bpe_trie": bpe.op7,
