@@ -241,9 +241,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -
     return rows.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 in the place of ids and decoded."""
-    kept = [c for c in encoded.columns if c not in ("ids", "decoded")]
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 in the place of decoded, and of ids unless they are to stay."""
+    kept = [c for c in encoded.columns if c != "decoded" and (keep_ids or c != "ids")]
     return encoded.select(*kept, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from editloom.llm import bloom, bpe, html, mixing, polytope, quality, rabitq, sharding, simhash
+from editloom.llm import bloom, bpe, html, licences, mixing, polytope, quality, rabitq, sharding, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_html_layout": html.op3,
         "op4_rabitq_neighbours": rabitq.op4,
         "op5_simhash_near_dedup": simhash.op5,
+        "op6_licence_scan": licences.op6,
         "op7_bpe_trie": bpe.op7,
         "op8_hypergeometric_shards": sharding.op8,
         "op9_bloom_cascade": bloom.op9,
@@ -20,4 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_licence_scan": licences.op6_sql(),
+    }
