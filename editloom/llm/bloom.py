@@ -192,3 +192,16 @@ def _per_list(lists: pa.Array, cascade: Cascade) -> pa.Array:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_sql() -> str:
+    """The same over a view ``pages``, for DuckDB: rules and listed hosts are compared one by one."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    hosts = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
+    fits = lambda host: f"(host = {host} or ends_with(host, '.' || {host}))"
+    return f"""
+with rules(verdict, h, p) as (values {rules}), listed(name) as (values {hosts}),
+parsed as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
+best as (select *, (select arg_max({{'rule': h || p, 'verdict': verdict}}, length(h || p) * 1000 + length(h)) from rules where {fits('h')} and starts_with(path, p)) r from parsed)
+select page_id, host, path, r.rule as rule, coalesce(r.verdict, case when exists (select 1 from listed where {fits('name')}) then 'block' else 'allow' end) verdict from best"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.llm.common import WORD, cut, part_of, table
+from editloom.llm.common import WORD, cut, table
 
 #: Words in a block.
 BLOCK = 16
@@ -29,6 +29,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shard_of(doc_id: Column, shards: Column) -> Column:
+    """A shard by the first 32 bits of the id's MD5, which SQL engines share; 0 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long") % shards, F.lit(0))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """(source, source_size, rank, target) from one row (source, source_size) per source.
 
@@ -78,8 +83,8 @@ def apportion(claims: DataFrame, seats: DataFrame, by: list[str], claim: str, or
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, passes,
-    first_word (its place in the stream of its shard), blocks (of that stream) and picks: how many words of each of its
-    blocks the mix takes beside the whole passes follow from ``picked``.
+    first_word (its place in the stream of its shard), and of that stream blocks, turn and picks: which blocks the mix
+    takes beside the whole passes follows from ``picked``.
 
     A null text has no words and takes none; a null source is a source of its own, last in order; documents without
     words take none; repeated rows are taken one by one, the same in every run; empty tables give no rows; of further
@@ -87,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     """
     thin = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")))
     shards = thin.agg(F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.lit(1)).cast("long").alias("shards"))
-    dealt = thin.crossJoin(F.broadcast(shards)).withColumn("shard", part_of(["doc_id"], F.col("shards"), seed)).drop("shards")  # a single row
+    dealt = thin.crossJoin(F.broadcast(shards)).withColumn("shard", shard_of(F.col("doc_id"), F.col("shards"))).drop("shards")  # a single row
     streams = cut(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")))
     sources = cut(targets(streams.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats))
     total = sources.agg(F.round(F.coalesce(F.sum("target"), F.lit(0.0)) / block).cast("long").alias("seats"))
@@ -105,15 +110,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     part = F.aggregate(
         F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block)),
         F.lit(0).cast("long"),
-        lambda sum_, j: sum_ + F.when(picked(j), F.least(last + 1, (j + 1) * block) - F.greatest(F.col("first_word"), j * block)).otherwise(0).cast("long"),
+        lambda sum_, j: sum_ + F.when(picked(j, *map(F.col, ("blocks", "turn", "picks"))), F.least(last + 1, (j + 1) * block) - F.greatest(F.col("first_word"), j * block)).otherwise(0).cast("long"),
     )
     taken = F.when(F.col("size") > 0, F.col("size") * F.col("passes") + part).otherwise(0).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "picks", "blocks", "turn", "first_word")
 
 
-def picked(j: Column) -> Column:
+def picked(j: Column, blocks: Column, turn: Column, picks: Column) -> Column:
     """Whether block ``j`` of a stream is one of its ``picks``: a seeded permutation puts it among the first."""
-    return (j * (_STEP % F.greatest(F.col("blocks"), F.lit(1))) + F.col("turn")) % F.greatest(F.col("blocks"), F.lit(1)) < F.col("picks")
+    n = F.greatest(blocks, F.lit(1))
+    return (j * (_STEP % n) + turn) % n < picks
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -122,22 +128,68 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
 
     Rows that share a doc_id and a size share a plan; rows with a null doc_id are taken like any other.
     """
+    p = "_"
+    while any(c.startswith(p) for c in docs.columns):  # names that no column of docs has
+        p += "_"
     plan = cut(mix(docs, weights, repeats, block, seed).groupBy("doc_id", "source", "size").agg(*(F.min(c).alias(c) for c in ("taken", "passes", "picks", "blocks", "turn", "first_word"))))
-    plan = plan.where("taken > 0").select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
+    plan = plan.where("taken > 0").select(*(F.col(c).alias(p + c) for c in plan.columns))
+    of = lambda name: F.col(p + name)
     text = F.col("text").cast("string")
-    rows = docs.withColumn("_n", size_of(text))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    rows = docs.withColumn(p + "n", size_of(text))
+    same = F.col("doc_id").cast("long").eqNullSafe(of("doc_id")) & F.col("source").cast("string").eqNullSafe(of("source")) & (of("n") == of("size"))
     rows = rows.join(plan, same)
-    names = {c: F.col(f"_{c}") for c in ("picks", "blocks", "turn")}
-    hit = lambda j: (j * (_STEP % names["blocks"]) + names["turn"]) % names["blocks"] < names["picks"]
-    some = F.col("_taken") - F.col("_passes") * F.col("_size")
-    words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w, k: hit(F.floor((F.col("_first_word") + k) / block))), " ")
-    extra = F.when(some == F.col("_size"), F.array(F.col("text"))).when(some > 0, F.array(words)).otherwise(F.array().cast("array<string>"))
-    copies = F.concat(F.array_repeat(F.col("text"), F.col("_passes").cast("int")), extra)
-    out = rows.withColumn("_copy", F.explode(copies))
-    cols = [F.col("_copy").alias(c) if c == "text" else F.length("_copy").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    some = of("taken") - of("passes") * of("size")
+    hit = lambda j: picked(j, of("blocks"), of("turn"), of("picks"))
+    words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w, k: hit(F.floor((of("first_word") + k) / block))), " ")
+    extra = F.when(some == of("size"), F.array(text)).when(some > 0, F.array(words)).otherwise(F.array().cast("array<string>"))
+    out = rows.withColumn(p + "copy", F.explode(F.concat(F.array_repeat(text, of("passes").cast("int")), extra)))
+    cols = [of("copy").alias(c) if c == "text" else F.length(of("copy")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op2_sql() -> str:
+    """The same over a view ``documents``, for DuckDB."""
+    weights = ", ".join(map(str, WEIGHTS))
+
+    def apportion_sql(name: str, claims: str, seats: str, by: str, claim: str, order: str) -> str:
+        group = f"partition by {by}" if by else ""
+        keys = order.split(", ")
+        same = " and ".join(f"b.{k} = a.{k}" for k in keys)
+        joined = f"{claims} join {seats} using ({by})" if by else f"{claims} cross join {seats}"
+        return f"""{name}_a as (select *, sum({claim}) over ({group}) a_all, count(*) over ({group}) a_n from {joined}),
+{name}_b as (select *, case when a_all > 0 then greatest(floor({claim} * seats / a_all * (1 - a_n / (2 * greatest(seats, 1)))) - 1, 0) else 0 end::bigint sure,
+  case when {claim} > 0 then floor({claim} * seats / a_all * (1 + a_n / (2 * greatest(seats, 1)))) + 2 else 0 end::bigint top from {name}_a),
+{name}_c as (select *, seats - sum(sure) over ({group}) a_open from {name}_b),
+{name}_d as (select *, unnest(range(sure, greatest(top, sure))) k from {name}_c),
+{name}_e as (select *, row_number() over ({group} order by {claim} / (2 * k + 1) desc, {order}, k) place from {name}_d),
+{name}_f as (select {order}, count(*) won from {name}_e where place <= a_open group by {order}),
+{name} as (select a.*, (a.sure + coalesce(b.won, 0))::bigint quota from {name}_c a left join {name}_f b on {same})"""
+
+    return f"""
+with thin as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
+dealt as (select *, coalesce(('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % (select greatest(ceil(count(*) / {SHARD_ROWS}.0), 1)::bigint from thin), 0) shard from thin),
+streams as (select source, shard, sum(size)::bigint words from dealt group by all),
+sizes as (select source, sum(words)::bigint source_size from streams group by all),
+ranked as (select *, row_number() over (order by source nulls last) - 1 as rank from sizes),
+bound as (select *, [{weights}][rank % {len(WEIGHTS)} + 1]::double weight, source_size * {float(REPEATS)} most from ranked),
+lefts as (select *, sum(source_size) over () - coalesce(sum(most) over (order by most / weight, rank rows between unbounded preceding and 1 preceding), 0.0) lft,
+  sum(weight) over () - coalesce(sum(weight) over (order by most / weight, rank rows between unbounded preceding and 1 preceding), 0.0) opn from bound),
+stopped as (select *, most * opn <= weight * lft stops from lefts),
+sources as (select source, source_size, rank, case when stops then most else weight * ((sum(source_size) over () - coalesce(sum(most) filter (stops) over (), 0.0)) / sum(weight) filter (not stops) over ()) end target from stopped),
+total as (select round(coalesce(sum(target), 0.0) / {BLOCK})::bigint seats from sources),
+{apportion_sql('q', 'sources', 'total', '', 'target', 'rank')},
+claims as (select q.rank, st.shard, st.words from streams st join q on st.source is not distinct from q.source),
+quotas as (select rank, quota seats from q),
+{apportion_sql('s', 'claims', 'quotas', 'rank', 'words', 'rank, shard')},
+plan as (select s.rank, s.shard, ceil(words / {BLOCK}.0)::bigint blocks, least(s.quota, ceil(words / {BLOCK}.0)::bigint * {REPEATS}) quota from s),
+turns as (select *, case when blocks > 0 then quota // blocks else 0 end passes, ({SEED} * 7919 + rank * 104729 + shard * 1299709) % greatest(blocks, 1) turn from plan),
+placed as (select *, coalesce(sum(size) over (partition by source, shard order by doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint first_word from dealt),
+joined as (select p.*, src.source_size, src.target, t.passes, t.quota - t.passes * t.blocks picks, greatest(t.blocks, 1) blocks, t.turn
+  from placed p join sources src on p.source is not distinct from src.source join turns t on t.rank = src.rank and t.shard = p.shard)
+select doc_id, size, source_size, target, case when size > 0 then size * passes + list_sum(list_transform(range(first_word // {BLOCK}, (first_word + size - 1) // {BLOCK} + 1),
+  lambda j: case when (j * ({_STEP} % blocks) + turn) % blocks < picks then least(first_word + size, (j + 1) * {BLOCK}) - greatest(first_word, j * {BLOCK}) else 0 end)) else 0 end::bigint taken, source
+from joined"""

@@ -22,5 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mix_sources": mixing.op2_sql(),
         "op6_licence_scan": licences.op6_sql(),
+        "op9_bloom_cascade": bloom.op9_sql(),
     }
