@@ -163,31 +163,32 @@ def filter_urls(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS, url: s
     hosts_among = build_cascade(universe("domains", {h.lower() for h in listed_hosts} or {""}))
     shared = spark.sparkContext.broadcast((rules_among, blocks_among, hosts_among))
 
-    @F.arrow_udf("array<boolean>")
-    def is_rule(hashes: pa.Array) -> pa.Array:
-        return _per_list(hashes, shared.value[0])
-
-    @F.arrow_udf("array<boolean>")
-    def is_listed(hashes: pa.Array) -> pa.Array:
-        return _per_list(hashes, shared.value[2])
-
-    @F.arrow_udf("boolean")
-    def is_block(hashes: pa.Array) -> pa.Array:
-        return pa.array(shared.value[1].contains(hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    tested = keyed.withColumn("fits", is_rule(F.transform("keys", lambda key: F.xxhash64(key)))).withColumn("bad", is_listed(F.transform("domains", lambda key: F.xxhash64(key))))
-    ranked = F.filter(F.transform("keys", lambda key, k: F.when(F.get("fits", k), F.struct(F.length(key).alias("n"), F.instr(key, "/").alias("at"), key.alias("key")))), lambda x: x.isNotNull())
-    judged = tested.withColumn("rule", F.array_max(ranked)["key"])
-    verdict = F.when(F.col("rule").isNotNull(), F.col("blocked")).otherwise(F.exists("bad", lambda x: x))
-    judged = judged.withColumn("blocked", is_block(F.xxhash64(F.coalesce("rule", F.lit("")))))
-    return judged.select("page_id", "host", "path", "rule", F.when(verdict, "block").otherwise("allow").alias("verdict"))
-
-
-def _per_list(lists: pa.Array, cascade: Cascade) -> pa.Array:
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    found = pa.array(cascade.contains(flat.view(np.uint64)) if len(flat) else np.zeros(0, bool), pa.bool_())
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among, blocking, listed = shared.value
+        for x in batches:
+            keys, sizes = x.column(3).flatten(), pc.list_value_length(x.column(3)).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(x.num_rows), sizes)
+            hashes = _hashes(x.column(4))
+            fits = np.flatnonzero(among.contains(hashes))
+            best: dict[int, tuple[int, int, str, int]] = {}
+            for k, key in zip(fits, keys.take(pa.array(fits)).to_pylist(), strict=True):
+                rank = (len(key), key.find("/"), key, int(k))
+                best[row[k]] = max(rank, best.get(row[k], rank))
+            blocked = np.zeros(x.num_rows, bool)
+            of = np.repeat(np.arange(x.num_rows), pc.list_value_length(x.column(5)).to_numpy(zero_copy_only=False))
+            blocked[of[listed.contains(_hashes(x.column(5)))]] = True
+            at = np.array(list(best), np.int64)
+            blocked[at] = blocking.contains(hashes[np.array([b[3] for b in best.values()], np.int64)])
+            rules_ = [best[k][2] if k in best else None for k in range(x.num_rows)]
+            yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array(rules_, pa.string()), pa.array(np.where(blocked, "block", "allow"), pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+
+    hashed = lambda c: F.transform(c, lambda key: F.xxhash64(key))
+    rows = keyed.select("page_id", "host", "path", "keys", hashed("keys").alias("of_keys"), hashed("domains").alias("of_domains"))
+    return rows.mapInArrow(judge, f"page_id {rows.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string")
+
+
+def _hashes(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
