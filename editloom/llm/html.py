@@ -42,6 +42,10 @@ _IN_HEAD = _words("base link meta title script style noscript template")
 #: End tags do not reach beyond these.
 _WALLS = _words("table td th caption template button object html")
 
+#: Where only rows and cells may stand, and what may stand there.
+_ROWS = _words("table thead tbody tfoot tr colgroup")
+_IN_TABLE = _words("caption colgroup col thead tbody tfoot tr td th script style template input form")
+
 
 class Node:
     __slots__ = ("tag", "attrs", "children")
@@ -56,11 +60,24 @@ def parse(source: str) -> Node:
     stack = [root]
     at, end = 0, len(source)
 
+    def place(x: Node | str) -> None:
+        """Appends to the open element; what has no place between rows and cells goes in front of their table."""
+        k = len(stack) - 1
+        if stack[k].tag in _ROWS and (x.tag not in _IN_TABLE if isinstance(x, Node) else x.strip(" \t\n\r\f")):
+            while k and stack[k].tag != "table":
+                k -= 1
+            if k:
+                above = stack[k - 1].children
+                at_table = next((j for j in range(len(above) - 1, -1, -1) if above[j] is stack[k]), len(above))
+                above.insert(at_table, x)
+                return
+        stack[k].children.append(x)
+
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
                 stack.pop()
-            stack[-1].children.append(s)
+            place(s)
 
     def close(names: frozenset[str], bounds: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -97,10 +114,10 @@ def parse(source: str) -> Node:
                 close(*_CLOSED_BY[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr")  # an implied row
-                stack[-1].children.append(row)
+                place(row)
                 stack.append(row)
             node = Node(tag, attrs)
-            stack[-1].children.append(node)
+            place(node)
             if tag in RAW or tag in ESCAPABLE:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 inside = source[at : stop.start() if stop else end]
@@ -111,9 +128,9 @@ def parse(source: str) -> Node:
         elif name := m["close"]:
             tag = name.lower()
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                place(Node("br"))
             elif tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+                place(Node("p"))
             elif tag not in ("html", "body"):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag or re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[k].tag):

@@ -21,7 +21,8 @@ CASES = {
     "<div>a<div>b</div>c</div><div>d": "a\nb\nc\nd",
     "a </b>b</p>c <unfinished": "a b\n\nc",
     "<h1>x</h2><h2>y": "x\n\ny",
-    "<textarea> a &lt; b </textarea>": " a < b",
+    "<textarea> a &lt; b </textarea>": " a < b ",
+    "<table>lost<tr>too<td>cell</table>": "losttoo\n\ncell",
     "": "", " \n ": "", "<p></p><p> </p>": "",
 }
 
