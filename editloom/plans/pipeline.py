@@ -33,6 +33,7 @@ class Options:
     allele_fraction: float = genotype.ALLELE_FRACTION
     qstart_max: int = report.QSTART_MAX
     drop_parents: bool = True
+    min_qscore: float = 10
     best_amplicon: bool = False
     window_from_hit_start: bool = True
     window_to_end: bool = False
@@ -90,6 +91,8 @@ def load_reads(spark: SparkSession, inputs: Inputs, options: Options) -> tuple[D
     reader = {"fasta": sources.read_fasta, "fastq": sources.read_fastq, "bam": sources.read_bam}[inputs.reads_format]
     raw = reader(spark, inputs.reads)
     kept = sources.without_parents(raw) if options.drop_parents and "dx" in raw.columns else raw
+    if "mean_q" in raw.columns:
+        kept = sources.good_quality(kept, options.min_qscore)
     return raw, sources.size_selected(kept, options.size_low, options.size_high).select("id", "seq")
 
 
@@ -108,7 +111,7 @@ def call_edits(spark: SparkSession, inputs: Inputs, folder: str, options: Option
         return {"amplicons": found, "windows": windows.target_windows(sites, found, genome, o.check_window)}
 
     known = stages.run("targets", pick("primers", "genome", "sites", "check_window"), targets, ("amplicons", "windows"))
-    base = stages.run("reads", pick("reads", "reads_format", "size_low", "size_high", "drop_parents"), lambda: {"reads": kept}, ("reads",))["reads"]
+    base = stages.run("reads", pick("reads", "reads_format", "size_low", "size_high", "drop_parents", "min_qscore"), lambda: {"reads": kept}, ("reads",))["reads"]
 
     def demultiplexing() -> dict[str, DataFrame]:
         side = lambda s: align.align_reads(base, _few(demux.first_indexes(index_list, s), "indexes"), 4, o.index_min_score).drop("score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,8 +46,15 @@ def unblocked(data: bytes) -> Iterator[bytes]:
         data = step.unused_data
 
 
-def bam_records(data: bytes) -> Iterator[tuple[str, str, int | None, str]]:
-    """Name, sequence, tag dx and mean-quality bytes of every record."""
+def mean_quality(qualities: bytes) -> float | None:
+    """The quality that belongs to the mean error probability; None where there are no qualities."""
+    if not qualities or qualities[0] == 255:
+        return None
+    return -10 * math.log10(sum(10 ** (-q / 10) for q in qualities) / len(qualities))
+
+
+def bam_records(data: bytes) -> Iterator[tuple[str, str, int | None, float | None]]:
+    """Name, sequence, tag dx and mean quality of every record."""
     raw = b"".join(unblocked(data))
     if raw[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
@@ -64,7 +72,7 @@ def bam_records(data: bytes) -> Iterator[tuple[str, str, int | None, str]]:
         packed = raw[p : p + (n + 1) // 2]
         seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n]
         p += (n + 1) // 2
-        quality = raw[p : p + n].hex()
+        quality = mean_quality(raw[p : p + n])
         p += n
         dx = None
         while p < end:
@@ -83,7 +91,7 @@ def bam_records(data: bytes) -> Iterator[tuple[str, str, int | None, str]]:
 
 
 def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """id, seq, dx (null without the tag) and qualities in hexadecimal. A task takes a file as a whole (up to 2 GB)."""
+    """id, seq, dx (null without the tag) and mean_q. A task takes a file as a whole (up to 2 GB)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -97,12 +105,12 @@ def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, seq string, dx int, quality string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, seq string, dx int, mean_q double")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "seq", "dx", "quality"])
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "seq", "dx", "mean_q"])
 
 
 def without_parents(reads: DataFrame) -> DataFrame:
@@ -110,6 +118,11 @@ def without_parents(reads: DataFrame) -> DataFrame:
     return reads.where("dx is null or dx <> -1")
 
 
+def good_quality(reads: DataFrame, least: float = 10) -> DataFrame:
+    """Reads with a mean quality of ``least`` or more, or without one."""
+    return reads.where(F.col("mean_q").isNull() | (F.col("mean_q") >= F.lit(float(least))))
+
+
 def size_selected(reads: DataFrame, low: float = 0, high: float = float("inf")) -> DataFrame:
     """Reads whose length lies between the bounds, both included; Spark reads this before any Python function."""
     return reads.where((F.length("seq") >= F.lit(float(low))) & (F.length("seq") <= F.lit(float(high))))

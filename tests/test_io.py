@@ -50,6 +50,9 @@ def test_bam(spark, tmp_path):
     got = reads.read_bam(spark, f"{tmp_path}/a.bam")
     assert sorted((x.id, x.seq, x.dx) for x in got.collect()) == [("a", "ACGTN", None), ("b", "GG", -1), ("c", "TTTT", 1)]
     assert sorted(x.id for x in reads.without_parents(got).collect()) == ["a", "c"]
+    assert {round(x.mean_q, 6) for x in got.collect()} == {30.0}
+    assert reads.good_quality(got, 31).count() == 0 and reads.good_quality(got, 30 - 1e-9).count() == 3
+    assert abs(reads.mean_quality(bytes([10, 20])) - 12.596373) < 1e-6 and reads.mean_quality(b"\xff") is None
 
 
 def test_tables(spark, tmp_path):
