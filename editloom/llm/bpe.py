@@ -28,6 +28,8 @@ from editloom.llm.common import table
 RUN_CHARS = 2 << 20
 #: Words whose encodings a worker remembers; beyond, it forgets them all and computes them again when they return.
 REMEMBERED = 300_000
+#: Pairs of tokens of which a worker remembers whether they may stand together.
+PAIRS = 1_000_000
 #: Characters that NFC leaves alone and on which both engines of regular expressions agree: ASCII without controls,
 #: Latin-1 and Latin Extended-A without spaces, superscripts, fractions and the dotted capital I.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]*")
@@ -75,6 +77,8 @@ class TrieEncoder:
         if (known := self.follows.get(key)) is None:
             if last == -2:
                 return False
+            if len(self.follows) >= PAIRS:
+                self.follows.clear()
             both = ([self.names[last]] if last >= 0 else []) + [self.names[token]]
             known = self.follows[key] = self.merged([s for t in both for s in self.symbols(t)]) == both
         return known
