@@ -91,6 +91,10 @@ def with_samples(pairs: DataFrame, index_list: DataFrame) -> DataFrame:
 
 
 def demultiplex(forward: DataFrame, reverse: DataFrame, index_list: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads with their samples, and one row for every read that stays without."""
-    classified = classify(opposite_pairs(best_hits(forward), best_hits(reverse)))
+    """Reads with their samples, and one row for every read that stays without.
+
+    Hits are dealt out by read first: the best hits, their pairs and the classification then need no other shuffle.
+    """
+    best = [best_hits(hits.repartition("sseqid")) for hits in (forward, reverse)]
+    classified = classify(opposite_pairs(*best))
     return with_samples(demultiplexed(classified), index_list), undemultiplexed(classified)

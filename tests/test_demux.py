@@ -75,3 +75,16 @@ def test_samples_take_the_first_entry(spark):
     got = {x.qseqid_f: x.index_pair_id for x in demux.with_samples(pairs, listed).collect()}
     assert got == {"F1": "P1", "F9": None, "F_2": "P3"}
     assert {x.id: x.seq for x in demux.first_indexes(listed, "f").collect()} == {"F1": "G", "F 2": "G"}
+
+
+def test_one_shuffle_a_side(spark):
+    f, r = spark.createDataFrame(hits("F", 1), COLUMNS), spark.createDataFrame(hits("R", 2), COLUMNS)
+    listed = spark.createDataFrame([("P1", "F1", "G", "R1", "T", 3)], "pair_id string, f_id string, f_seq string, r_id string, r_seq string, ordinal long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        _, rest = demux.demultiplex(f, r, listed)
+        plan = rest._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
