@@ -40,10 +40,11 @@ def _gap_cost(h: np.ndarray, first: int, more: int) -> np.ndarray:
     return out
 
 
-def align_many(query: bytes, reads: list[bytes], scores: tuple[int, int, int, int] = SCORES) -> list[tuple[int, int, int, int, int, int, int, str, str] | None]:
+def align_many(query: bytes, reads: list[bytes], scores: tuple[int, int, int, int] = SCORES, least: int = 1) -> list[tuple[int, int, int, int, int, int, int, str, str] | None]:
     """Best local alignment of ``query`` with each read: score, qstart, qend, sstart, send, mismatches, gaps, and both rows.
 
-    Positions are from 1. Of equal scores, the one that ends first on the query, then on the read, is taken.
+    Positions are from 1. Of equal scores, the one that ends first on the query, then on the read, is taken. Scores below
+    ``least`` count as none, and are not traced back.
     """
     match, miss, first, more = scores
     width = max(map(len, reads), default=0)
@@ -66,15 +67,13 @@ def align_many(query: bytes, reads: list[bytes], scores: tuple[int, int, int, in
     lengths = np.array([len(r) for r in reads])
     flat = np.where(np.arange(width + 1)[None, None, :] <= lengths[None, :, None], h, 0).transpose(1, 0, 2).reshape(n, -1)
     best = flat.argmax(axis=1)
-    return [_way_back(query, r, h[:, k], downs[:, k], int(b) // (width + 1), int(b) % (width + 1), scores) for k, (r, b) in enumerate(zip(reads, best, strict=True))]
+    good = flat[np.arange(n), best] >= max(least, 1)
+    return [_way_back(query, r, h[:, k], downs[:, k], int(b) // (width + 1), int(b) % (width + 1), scores) if ok else None for k, (r, b, ok) in enumerate(zip(reads, best, good, strict=True))]
 
 
 def _way_back(query: bytes, read: bytes, h: np.ndarray, down: np.ndarray, i: int, j: int, scores: tuple[int, int, int, int]):
     match, miss, first, more = scores
-    score = int(h[i, j])
-    if score <= 0:
-        return None
-    qend, send = i, j
+    score, qend, send = int(h[i, j]), i, j
     top, low = [], []
     while i and j and h[i, j] > 0:
         here = h[i, j]
@@ -134,9 +133,9 @@ def align_reads(reads: DataFrame, references: list[tuple[str, str]], seed: int =
                 for name, query in known:
                     some = _seeded(query, [s for _, _, s in both], seed) if seed else range(len(both))
                     found: dict[int, tuple] = {}
-                    for i, hit in zip(some, align_many(query, [both[i][2] for i in some], scores), strict=True):
+                    for i, hit in zip(some, align_many(query, [both[i][2] for i in some], scores, min_score), strict=True):
                         k, strand, _ = both[i]
-                        if hit and hit[0] >= min_score and (k not in found or hit[0] > found[k][1][0]):
+                        if hit and (k not in found or hit[0] > found[k][1][0]):
                             found[k] = (strand, hit)
                     for k, (strand, (score, qs, qe, ss, se, mis, gaps, q, s)) in found.items():
                         n = len(seqs[k])
