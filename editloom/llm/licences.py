@@ -12,7 +12,7 @@ import functools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.llm.common import cut, table
@@ -52,6 +52,8 @@ OTHERS = (
 #: A paragraph with one of these words is scanned. Every template has one.
 ANCHORS = ("license", "licensed", "licence", "licenced", "licenses", "licences", "copyright", "permission", "redistribution", "warranty")
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: A word that a line's end breaks behind a hyphen: what leads the next line, and the rest of the word.
+BROKEN = r"(?<=[A-Za-z0-9])-\n([^A-Za-z0-9\n]*)([A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*)"
 UNKNOWN = "unknown"
 #: What a family must have: probability, and share of the word pairs of a template.
 PROBABLE, SIMILAR = 0.5, 0.8
@@ -138,30 +140,26 @@ def template_pairs() -> list[tuple[str, int, str, int]]:
     return out
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
-    """One row per paragraph (line) of ``docs`` (doc_id, text) with a word of ANCHORS: doc_id, paragraph (from 0),
-    family, probability, similarity and text.
+def _runs(n: int):
+    """Runs of ``n`` words of the array w."""
+    return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    family is the likeliest if its probability and its similarity to a template of its own suffice, else unknown;
-    probability is of the likeliest class, similarity of the likeliest family's best template. Both are rounded to six
-    places. Equal paragraphs are judged once, whatever the number of documents that share them.
 
-    Null and empty texts have no paragraphs; very long ones are scanned whole; repeated rows and null doc_ids give their
-    rows like any other; an empty table gives no rows; further columns are ignored.
-    """
-    spark = docs.sparkSession
+def _apart(begin: str, end: str):
+    """Of the spans in the array all, each that no span kept before it meets."""
+    meets = lambda x: lambda y: (x[begin] <= y[end]) & (y[begin] <= x[end])
+    return F.aggregate(F.slice("all", 2, F.size("all")), F.slice("all", 1, 1), lambda out, x: F.when(F.exists(out, meets(x)), out).otherwise(F.concat(out, F.array(x))))
+
+
+def _judged(once: DataFrame) -> DataFrame:
+    """(key, family, probability, similarity) for the distinct paragraphs ``once`` (key, text)."""
+    spark = once.sparkSession
     classes, weights, bias, _ = train()
-    anchor = r"(?i)\b(?:" + "|".join(ANCHORS) + r")\b"
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(anchor))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(F.col("text").rlike(anchor))
-    lines = cut(lines.select("doc_id", "paragraph", "text", F.sha2("text", 256).alias("key")))
-    once = cut(lines.groupBy("key").agg(F.first("text").alias("text")))
     words = once.select("key", F.regexp_extract_all(F.lower("text"), F.lit(f"({WORDS})")).alias("w"))
-    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))
     # a bounded model: one row per n-gram with a weight, and one per pair of a template
     model = spark.createDataFrame([(g, list(w)) for g, w in weights.items()], "gram string, weights array<double>")
     pairs = spark.createDataFrame(template_pairs(), "family string, template int, pair string, pairs int")
-    found = words.select("key", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("gram")).join(F.broadcast(model), "gram")
+    found = words.select("key", F.explode(F.array_distinct(F.concat(_runs(1), _runs(2), _runs(3)))).alias("gram")).join(F.broadcast(model), "gram")
     sums = found.groupBy("key").agg(*(F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(len(classes))))
     scored = once.select("key").join(sums, "key", "left")
     scores = F.array(*(F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + F.lit(b) for k, b in enumerate(bias)))
@@ -169,12 +167,74 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     total = F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int"))
     judged = scored.select("key", best.alias("best"), F.round(1 / total, 6).alias("probability"))
-    alike = words.select("key", F.explode(F.array_distinct(runs(2))).alias("pair")).join(F.broadcast(pairs), "pair")
+    alike = words.select("key", F.explode(F.array_distinct(_runs(2))).alias("pair")).join(F.broadcast(pairs), "pair")
     alike = alike.groupBy("key", "family", "template").agg((F.count("*") / F.first("pairs")).alias("share")).groupBy("key", "family").agg(F.max("share").alias("share"))
     joined = judged.join(alike.withColumnRenamed("family", "best"), ["key", "best"], "left").withColumn("similarity", F.round(F.coalesce("share", F.lit(0.0)), 6))
     sure = (F.col("probability") >= PROBABLE) & (F.col("similarity") >= SIMILAR)
-    named = joined.select("key", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "similarity")
-    return lines.join(named, "key").select("doc_id", "paragraph", "family", "probability", "similarity", "text")
+    return joined.select("key", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "similarity")
+
+
+def _wrapped(texts: DataFrame) -> DataFrame:
+    """(of, first, last, text, shown): runs of two or more lines of the distinct ``texts`` (of, text) that have enough word
+    pairs of a template within twice its words, wherever its lines are broken. A word broken behind a hyphen is whole in text, not in shown.
+    """
+    spark = texts.sparkSession
+    texts = texts.select("of", F.col("text").alias("shown"), F.regexp_replace("text", BROKEN, "-$2\n$1").alias("text"))
+    sizes = [len(words_of(t)) for ts in TEMPLATES.values() for t in ts]
+    pairs = spark.createDataFrame([(t, p, n, 2 * sizes[t]) for _, t, p, n in template_pairs()], "template int, pair string, pairs int, reach int")
+    split = F.transform(F.split("text", "\n"), lambda line, k: F.transform(F.regexp_extract_all(F.lower(line), F.lit(f"({WORDS})")), lambda w: F.struct(k.alias("line"), w.alias("word"))))
+    words = texts.select("of", F.flatten(split).alias("w")).where(F.size("w") > 1)
+    two = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda k: F.struct(k.alias("at"), F.col("w")[k]["line"].alias("begin"), F.col("w")[k + 1]["line"].alias("end"), F.concat_ws(" ", F.col("w")[k]["word"], F.col("w")[k + 1]["word"]).alias("pair")))
+    hits = words.select("of", F.explode(two).alias("h")).select("of", "h.*").join(F.broadcast(pairs), "pair")
+    # positions in units of a template's reach, so that one range fits all
+    hits = hits.withColumn("place", F.floor(F.col("at") * 10_000 / F.col("reach")).cast("long"))
+    by = Window.partitionBy("of", "template").orderBy("place")
+    ahead = by.rangeBetween(0, 10_000)
+    runs = hits.select("of", "template", "place", "at", F.col("begin").alias("first"), (F.size(F.collect_set("pair").over(ahead)) / F.col("pairs")).alias("share"))
+    runs = runs.where(F.col("share") >= SIMILAR)
+    # a run ends where the last of its pairs is first seen; of those with a word in common the most alike stays, then the shortest
+    inside = hits.select("of", "template", F.col("place").alias("p"), F.col("at").alias("a"), "end", "pair").join(runs, ["of", "template"]).where("a >= at and p <= place + 10000")
+    by = ["of", "template", "at", "first", "share"]
+    runs = inside.groupBy(*by, "pair").agg(F.min(F.struct("a", "end")).alias("z")).groupBy(*by).agg(F.max("z").alias("z"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), (F.col("z.a") - F.col("at")).alias("n"), F.col("at").alias("x"), F.col("z.a").alias("y"), "first", F.col("z.end").alias("last"))))
+    runs = runs.groupBy("of", "template").agg(order.alias("all")).select("of", F.explode(_apart("x", "y")).alias("r")).select("of", "r.first", "r.last")
+    runs = runs.where(F.col("last") > F.col("first")).distinct()
+    lines = lambda c: F.array_join(F.slice(F.split(c, "\n"), F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n").alias(c)
+    return runs.join(texts, "of").select("of", "first", "last", lines("text"), lines("shown"))
+
+
+def scan_licences(docs: DataFrame) -> DataFrame:
+    """One row per paragraph of ``docs`` (doc_id, text) with a word of ANCHORS: doc_id, paragraph (its first line, from
+    0), family, probability, similarity and text.
+
+    A paragraph is a line; but lines over which a notice is wrapped are one paragraph, if they are judged to be of a
+    family and none of them is alone. family is the likeliest if its probability and its similarity to a template of its
+    own suffice, else unknown; probability is of the likeliest class, similarity of the likeliest family's best
+    template. Both are rounded to six places. Equal paragraphs are judged once, whatever the number of documents that
+    share them.
+
+    Null and empty texts have no paragraphs; very long ones are scanned whole; repeated rows and null doc_ids give their
+    rows like any other; an empty table gives no rows; further columns are ignored.
+    """
+    anchor = r"(?i)\b(?:" + "|".join(ANCHORS) + r")\b"
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(anchor))
+    lines = kept.withColumn("of", F.sha2("text", 256)).select("doc_id", "of", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(F.col("text").rlike(anchor))
+    lines = cut(lines.select("doc_id", "of", "paragraph", "text", F.sha2("text", 256).alias("key")))
+    texts = kept.groupBy(F.sha2("text", 256).alias("of")).agg(F.first("text").alias("text"))
+    runs = cut(_wrapped(texts).where(F.col("text").rlike(anchor)).withColumn("key", F.sha2("text", 256)))
+    once = cut(lines.select("key", "text").unionByName(runs.select("key", "text")).groupBy("key").agg(F.first("text").alias("text")))
+    named = cut(_judged(once))
+    alone = lines.join(named.where(F.col("family") != UNKNOWN), "key").select("of", F.col("paragraph").alias("line")).distinct()
+    inside = lambda line: (F.col(line) >= F.col("first")) & (F.col(line) <= F.col("last"))
+    runs = runs.join(named.where(F.col("family") != UNKNOWN), "key").join(alone.withColumnRenamed("of", "_of"), (F.col("of") == F.col("_of")) & inside("line"), "left_anti")
+    # of runs with a line in common the one most alike stays, then the longest
+    order = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("a"), (F.col("first") - F.col("last")).alias("b"), "first", "last", "key", "family", "probability", "similarity", F.col("shown").alias("text"))))
+    runs = cut(runs.groupBy("of").agg(order.alias("all")).select("of", F.explode(_apart("first", "last")).alias("x")).select("of", "x.*"))
+    covered = runs.select(F.col("of"), F.explode(F.sequence("first", "last")).alias("paragraph"))
+    single = lines.join(covered, ["of", "paragraph"], "left_anti").join(named, "key")
+    several = kept.select("doc_id", F.sha2("text", 256).alias("of")).join(runs.withColumnRenamed("first", "paragraph"), "of")
+    cols = ["doc_id", "paragraph", "family", "probability", "similarity", "text"]
+    return single.select(*cols).unionByName(several.select(*cols))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -182,7 +242,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def op6_sql() -> str:
-    """The same over a view ``documents``, for DuckDB."""
+    """The same over a view ``documents``, for DuckDB; lines only, so without notices that are wrapped."""
     classes, weights, bias, _ = train()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     model = ",".join(f"({quote(g)},[{','.join(map(repr, w))}]::double[])" for g, w in weights.items())

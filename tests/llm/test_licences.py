@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pandas as pd
 
@@ -37,3 +39,22 @@ def test_odd_rows_and_sql(spark):
     want = sorted(con.sql(licences.op6_sql()).fetchall(), key=str)
     assert got == want and len(got) == 4
     assert licences.scan_licences(docs.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    long = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 72]
+    rows, want = [], []
+    for family, t in long:
+        for width, lead in ((72, ""), (72, " * "), (30, "# ")):
+            lines = [lead + x for x in textwrap.wrap(t, width)]
+            rows.append((len(rows), "\n".join(["first line of the file", "", *lines, "", "x = 1"]), "s"))
+            want.append((family, 2, "\n".join(lines)))
+    assert len(long) > 5
+    got = {}
+    for x in licences.scan_licences(documents(spark, rows)).where("family <> 'unknown'").collect():
+        got.setdefault(x.doc_id, []).append((x.family, x.paragraph, x.text))
+    assert {k: {f for f, _, _ in v} for k, v in got.items()} == {k: {w[0]} for k, w in enumerate(want)}
+    # a line of these notices can be one by itself
+    assert [(k, got[k]) for k, w in enumerate(want) if w[0] not in ("apache-2.0", "cc-by-4.0") and got[k] != [w]] == []
+    twice = documents(spark, [(1, rows[0][1] + "\n" * 9 + rows[0][1], "s"), (1, rows[0][1], "s"), (None, rows[0][1], "s")])
+    assert licences.scan_licences(twice).where("family <> 'unknown'").count() == 4
