@@ -25,6 +25,8 @@ SAMPLE = 16_384
 RECALL = 0.99
 #: Standard deviations that the error bound spans.
 SPAN = 3.0
+#: What an estimate may lose by rounding, as a share of the lengths multiplied.
+ROUNDING = 1e-12
 #: Vectors and queries of one list that a task takes at once.
 BLOCK, QUERIES = 4096, 512
 SEED = 42
@@ -105,7 +107,10 @@ def _search(group: pa.Table, index: Index, k: int) -> tuple[np.ndarray, np.ndarr
     bits = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
     about, bound = index.estimate(q, group.column(0)[0].as_py(), bits, rows.column(7).to_numpy(), rows.column(8).to_numpy())
     other = names[:, None] != ids[None, :]
-    high = np.where(other, about + bound, -np.inf)
+    # estimates and exact products are summed in different orders, so ties may differ by rounding
+    c = index.c[group.column(0)[0].as_py()]
+    slack = ROUNDING * np.sqrt((q * q).sum(axis=1))[:, None] * (math.sqrt(c @ c) + rows.column(7).to_numpy())
+    high = np.where(other, about + bound + slack, -np.inf)
     first = min(4 * k, len(ids))
     lead = np.argpartition(-np.where(other, about, -np.inf), first - 1, axis=1)[:, :first]
     scores = exact(np.repeat(q, first, axis=0), x[lead.ravel()]).reshape(lead.shape)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from editloom.llm import polytope, rabitq
@@ -98,3 +99,21 @@ def test_error_bounds_hold():
     at, bits, size, fit = index.encode(x)
     about, bound = index.estimate(q, 0, bits, size, fit)
     assert (np.abs(about - q @ x.T) <= bound).mean() > 0.995 and not at.any()
+
+
+def test_copies_whose_estimate_is_rounded_down_stay():
+    class Low(rabitq.Index):
+        def estimate(self, *args):
+            about, bound = super().estimate(*args)
+            return np.nextafter(about, -np.inf), bound
+
+    r = np.random.default_rng(7)
+    c, ask = r.standard_normal(24), r.standard_normal(24)
+    index = Low(c[None])
+    at, bits, size, fit = index.encode(np.tile(c, (100, 1)))
+    assert not size.any()
+    vectors_ = pa.array([*np.tile(c, (100, 1)).tolist(), ask.tolist()], pa.list_(pa.float64()))
+    columns = [[0] * 101, [0] * 101, [0] * 101, [0] * 100 + [1], list(range(101)), vectors_, [x.tobytes() for x in bits] + [None], [*size, 0.0], [*fit, 1.0], [float("-inf")] * 101]
+    group = pa.table([pa.array(x) if isinstance(x, list) else x for x in columns], names=[str(k) for k in range(10)])
+    names, ids, scores = rabitq._search(group, index, 20)
+    assert ids.tolist() == list(range(20)) and set(names) == {100} and np.allclose(scores, c @ ask)
