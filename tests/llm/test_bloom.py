@@ -4,6 +4,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from editloom.llm import bloom
@@ -54,7 +55,7 @@ def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"key{k}" for k in range(6000)]
     listed = set(r.sample(keys, 700))
     df = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean").select("key", F.xxhash64("key").alias("h"), "listed").cache()
-    cascade = bloom.build_cascade(df.select("h", "listed"))
+    (cascade,) = bloom.build_cascades(df.select("h", "listed"))
     assert len(cascade.levels) > 2
     rows = df.collect()
     got = cascade.contains(np.array([x.h for x in rows]).view(np.uint64))
@@ -62,4 +63,28 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert sum(len(b) for b, _ in cascade.levels) < 6000
     for chosen in (set(), set(keys)):
         flagged = df.select("h", F.lit(bool(chosen)).alias("listed"))
-        assert bloom.build_cascade(flagged).contains(np.array([x.h for x in rows]).view(np.uint64)).all() == bool(chosen)
+        assert bloom.build_cascades(flagged)[0].contains(np.array([x.h for x in rows]).view(np.uint64)).all() == bool(chosen)
+    h = np.array([x.h for x in rows])
+    parts = bloom.build_cascades(df.select("h", "listed"), most_bytes=400)  # a list that is too long for one broadcast
+    assert len(parts) > 1
+    for p, one in enumerate(parts):
+        own = h % len(parts) == p
+        assert one.contains(h[own].view(np.uint64)).tolist() == [x.listed for x, o in zip(rows, own, strict=True) if o]
+
+
+def test_lists_in_parts_and_as_a_table(spark):
+    urls = URLS + [f"http://h{k}.net/{k}" for k in range(300)]
+    listed = [f"h{k}.net" for k in range(0, 300, 2)]
+    some = pages(spark, urls)
+    want = bloom.filter_urls(some, listed_hosts=tuple(listed)).collect()
+    table = spark.createDataFrame([(h.upper(),) for h in listed] * 2, "host string")
+    for most in (bloom.CASCADE_BYTES, 100):
+        assert bloom.filter_urls(some, listed_hosts=table, most_bytes=most).collect() == want
+    assert sum(x.verdict == "block" for x in want if (x.host or "").startswith("h")) == 150
+
+
+def test_a_shared_hash_is_told(spark):
+    with pytest.raises(bloom.SameHash):
+        bloom.small_cascade(np.array([5], np.uint64), np.array([5, 6], np.uint64))
+    long = "http://a.com/" + "x" * 3_000_000
+    assert bloom.filter_urls(pages(spark, [long, "http://" + "a." * 300 + "net/"])).where("length(path) > 2000000").count() == 1
