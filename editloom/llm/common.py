@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Iterator
 
@@ -15,19 +16,22 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes of text that one vectorised step takes at once; a single longer text is a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step takes at once; longer texts are taken in pieces of whole words.
+STEP_BYTES = 1 << 18
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from it: lineage ends there and survives lost executors.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only a session without one (as in tests)
-    gets a folder of this machine.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Only a session in one process may do
+    without one (as in tests) and gets a folder of this machine.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoint"))
     return df.checkpoint(eager=True)
 
 
@@ -35,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about STEP_BYTES: first row, row after the last, their UTF-8 bytes, their offsets.
+def steps(texts: pa.Array, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts of about STEP_BYTES: the rows they belong to, their UTF-8 bytes, their offsets.
 
-    A null text has no bytes.
+    A text that is longer than that comes in several runs of its own, cut between words; of these each begins with the
+    last ``overlap`` words of the one before, and has more than ``overlap`` words if the text does. A null text has no
+    bytes.
     """
     if pa.types.is_large_string(texts.type) or texts.null_count:
         texts = texts.fill_null("")
@@ -52,10 +58,38 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP_BYTES, "right")) - 1)
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if offsets[b] - offsets[a] > STEP_BYTES:
+            for piece in _pieces(data[offsets[a] : offsets[b]], overlap):
+                yield np.array([a]), piece, np.array([0, len(piece)])
+        else:
+            yield np.arange(a, b), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
 
+def _pieces(data: np.ndarray, overlap: int) -> Iterator[np.ndarray]:
+    """A long text in pieces of about STEP_BYTES that end with a word and begin ``overlap`` words before the last end."""
+    begin, end = 0, 0
+    while end < len(data):
+        end = max(end, begin + STEP_BYTES)
+        while True:  # to the end of a word, and on until a word is new
+            rest = np.flatnonzero(_SEPARATOR[data[end : end + STEP_BYTES]])
+            while not len(rest) and end < len(data):  # within a very long word
+                end = min(len(data), end + STEP_BYTES)
+                rest = np.flatnonzero(_SEPARATOR[data[end : end + STEP_BYTES]])
+            end = min(len(data), end + int(rest[0])) if len(rest) else len(data)
+            if end == len(data):
+                break
+            word = ~_SEPARATOR[data[begin:end]]
+            starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+            starts = np.concatenate([[0], starts]) if word[0] else starts
+            if len(starts) > overlap:
+                break
+            end += 1
+        yield data[begin:end]
+        if end < len(data):
+            begin = begin + int(starts[-overlap]) if overlap else end
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, byte by byte."""
     return _LOWER[data]
@@ -88,7 +122,6 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_TABLES: list[np.ndarray] = []
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -98,14 +131,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for a step; longer ones are made where a word needs them."""
+    return _powers(_BASE, STEP_BYTES), _powers(pow(_BASE, -1, 2**64), STEP_BYTES)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial in its bytes, by differences of prefix sums, then mixed."""
     n = len(data)
-    if not _TABLES or len(_TABLES[0]) <= n:
-        _TABLES[:] = [_powers(_BASE, max(n, STEP_BYTES)), _powers(pow(_BASE, -1, 2**64), max(n, STEP_BYTES))]
+    up, down = _tables() if n <= STEP_BYTES else (_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _TABLES[0][:n], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * _TABLES[1][start] + (end - start).astype(np.uint64))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 _KIND = np.full(256, 2, dtype=np.uint8)

@@ -1,8 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k sampling.
 
 Both models are multinomials over hashed unigrams and bigrams of lower-cased pieces (runs of letters and digits, runs of
-punctuation). The importance weight of a text is the ratio of its probabilities under them. Keys of log weight plus
-Gumbel noise make the k largest a sample without replacement in proportion to the weights.
+punctuation). The importance weight of a text is the ratio of its probabilities under them, whatever its length. Keys of
+log weight plus Gumbel noise make the k largest a sample without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -20,22 +20,27 @@ from editloom.llm.common import cut, lowered, mixed, piece_spans, steps, table,
 BUCKETS = 1 << 16
 #: The most labelled rows that the target model and the cut are fitted on (those with the least hashes of doc_id).
 LABELLED = 16_384
-#: N-grams of one text count as at most this many independent ones.
-EFFECTIVE = 64
 #: What a lost clean text costs, in junk texts that stay.
 CLEAN_COST = 20.0
 SEED = 42
 
 
-def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First row, row after the last, the buckets of their n-grams, and the row of each."""
-    for a, b, data, offsets in steps(texts):
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of n-grams, and the row of each; together every n-gram of every row once."""
+    held: tuple[int, np.uint64] | None = None  # row and hash of the last piece of the run before
+    for rows, data, offsets in steps(texts):
         low = lowered(data)
         start, end, doc = piece_spans(low, offsets)
         h = word_hashes(low, start, end)
+        doc = rows[doc]
+        own, every = len(h), h
+        if len(h) and held and held[0] == doc[0]:  # the text goes on
+            every, doc = np.concatenate([[held[1]], h]), np.concatenate([doc[:1], doc])
         same = doc[1:] == doc[:-1]
-        pairs = mixed(h[:-1] * np.uint64(3) + h[1:])[same]
-        yield a, b, (np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc, doc[1:][same]])
+        pairs = mixed(every[:-1] * np.uint64(3) + every[1:])[same]
+        yield (np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc[len(doc) - own :], doc[1:][same]])
+        if own:
+            held = int(doc[-1]), h[-1]
 
 
 def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +50,9 @@ def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros((2, BUCKETS), np.int64)
         for x in batches:
             target = x.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, bucket, doc in features(x.column(0)):
+            for bucket, doc in features(x.column(0)):
                 counts[0] += np.bincount(bucket, minlength=BUCKETS)
-                if target[a:b].any():
-                    counts[1] += np.bincount(bucket[target[a:b][doc]], minlength=BUCKETS)
+                counts[1] += np.bincount(bucket[target[doc]], minlength=BUCKETS)
         here = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(counts[0][here]), pa.array(counts[1][here])], ["bucket", "raw", "target"])
 
@@ -66,12 +70,14 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, alpha: float = 1.0) -> np.nda
     return np.log((target + alpha) / (target.sum() + alpha * len(target))) - np.log((raw + alpha) / (raw.sum() + alpha * len(raw)))
 
 
-def weights_of(texts: pa.Array, ratio: np.ndarray, effective: int = EFFECTIVE) -> np.ndarray:
-    """The log importance weight of each text, scaled down to ``effective`` n-grams; 0 for a text without words."""
+def weights_of(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    """The log importance weight of each text: the sum over its n-grams; 0 for a text without words."""
     out = np.zeros(len(texts))
-    for a, b, bucket, doc in features(texts):
-        n = np.bincount(doc, minlength=b - a)
-        out[a:b] = np.bincount(doc, weights=ratio[bucket], minlength=b - a) / np.maximum(n / effective, 1)
+    for bucket, doc in features(texts):
+        if len(doc):
+            first = int(doc.min())
+            sums = np.bincount(doc - first, weights=ratio[bucket])
+            out[first : first + len(sums)] += sums
     return out
 
 

@@ -55,9 +55,9 @@ def ring_keys(limit: int = 3) -> list[tuple[int, int]]:
 
 def fingerprints_of(texts: pa.Array) -> np.ndarray:
     """The fingerprint of each text, as uint64."""
-    out = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
-    for a, b, data, offsets in steps(texts):
+    votes, shingles = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
+    for rows, data, offsets in steps(texts, WIDTH - 1):
         start, end, doc = word_spans(data, offsets)
         if not len(start):
             continue
@@ -66,7 +66,7 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
         at = np.cumsum(size + 1) - size - 1
         joined = np.full(int((size + 1).sum()), 32, np.uint8)
         joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = lowered(data)[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
-        words = np.bincount(doc, minlength=b - a)
+        words = np.bincount(doc, minlength=len(rows))
         first = np.cumsum(words) - words
         here = np.flatnonzero(words)
         made = np.maximum(words - (WIDTH - 1), 1)[here]
@@ -75,16 +75,10 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
         tail = np.minimum(lead + WIDTH - 1, np.repeat(first[here] + words[here] - 1, made))
         raw, lo, hi = joined.tobytes(), at[lead].tolist(), (at[tail] + size[tail]).tolist()
         h = np.fromiter((digest(raw[i:j], 42) for i, j in zip(lo, hi, strict=True)), np.uint64, total)
-        ends = np.cumsum(made)
-        votes = np.zeros((len(here), BITS), np.int64)
-        for x in range(0, len(here), 256):  # so that the bits of a few texts exist at a time
-            y = min(x + 256, len(here))
-            p, q = int(ends[x] - made[x]), int(ends[y - 1])
-            bits = np.unpackbits(h[p:q].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes[x:y] = np.add.reduceat(bits, ends[x:y] - made[x:y] - p, axis=0, dtype=np.int32)
-        over = (2 * votes > made[:, None]).astype(np.uint8)
-        out[a + here] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes[rows[here]] += np.add.reduceat(bits, np.cumsum(made) - made, axis=0, dtype=np.int32)
+        shingles[rows[here]] += made
+    return np.packbits(2 * votes > shingles[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -192,21 +186,6 @@ def simhash_components(docs: DataFrame, limit: int = 3, group: int = GROUP) -> D
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, limit: int = 3) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component, the document with the least doc_id stays.
-
-    Of rows that repeat a doc_id one stays; rows with a null doc_id stay.
-    """
-    found = cut(simhash_components(docs, limit).where("doc_id is not null"))
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

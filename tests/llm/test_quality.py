@@ -1,4 +1,9 @@
+import math
+import random
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from editloom.llm import quality
@@ -32,17 +37,54 @@ def test_held_out_accuracy(corpus):
     assert docs.columns == corpus[0].columns
 
 
-def test_weights_equal_a_plain_model(corpus):
-    texts = [x.text for x in corpus[0].limit(30).collect()]
-    import pyarrow as pa
-
-    ratio = np.random.default_rng(0).standard_normal(quality.BUCKETS)
-    got = quality.weights_of(pa.array([*texts, None, "", "!?"]), ratio)
-    buckets = [b for _, _, b, _ in quality.features(pa.array(texts[:1]))][0]
-    words = 20 * 3 * 2  # pieces and neighbours of one text, roughly
-    assert abs(len(buckets) - words) < words
-    assert got[0] == pytest.approx(ratio[buckets].sum() / max(1, len(buckets) / quality.EFFECTIVE))
-    assert got[30] == got[31] == 0 and got[32] != 0
+def plain_pieces(text):
+    """Runs of letters, digits and underscores (with all bytes beyond ASCII), and runs of other characters, lower-cased."""
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    return re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+", (text or "").encode().translate(lower))
+
+
+def plain_buckets(text):
+    """The definition, number by number: a polynomial in the bytes, mixed; neighbours of a text give the pairs."""
+    base, whole = 0x9E3779B97F4A7C15, 2**64
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % whole
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % whole
+        return h ^ h >> 31
+
+    each = [mix((sum((c + 1) * pow(base, k, whole) for k, c in enumerate(w)) + len(w)) % whole) for w in plain_pieces(text)]
+    return [h % quality.BUCKETS for h in each + [mix((a * 3 + b) % whole) for a, b in zip(each, each[1:])]]
+
+
+def test_model_and_weights_equal_a_plain_one(spark, corpus):
+    docs = documents(spark, [(x.doc_id, x.text, "s") for x in corpus[0].limit(40).collect()] + odd_rows()[:66])
+    rows = [(x.text, k % 3 == 0) for k, x in enumerate(docs.collect())]
+    flagged = spark.createDataFrame(rows, "text string, is_target boolean")
+    raw, target = quality.count_models(flagged)
+    want = [np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)]
+    for t, good in rows:
+        for b in plain_buckets(t):
+            want[0][b] += 1
+            want[1][b] += good
+    assert (raw == want[0]).all() and (target == want[1]).all()
+    ratio = quality.log_ratio(target, raw)
+    sums = [target.sum() + quality.BUCKETS, raw.sum() + quality.BUCKETS]
+    scores = [sum(math.log((want[1][b] + 1) / sums[0]) - math.log((want[0][b] + 1) / sums[1]) for b in plain_buckets(t)) for t, _ in rows]
+    assert quality.weights_of(pa.array([t for t, _ in rows]), ratio) == pytest.approx(scores)
+
+
+def test_long_texts_are_read_in_pieces_without_loss():
+    r = random.Random(2)
+    long = " ".join(r.choice(["alpha", "be-ta!!", "Gamma", "dél."]) for _ in range(120_000))
+    texts = ["one two", long, None, "", "x" * 600_000 + " end", long + " " + "y" * 400_000]
+    found = {}
+    for bucket, doc in quality.features(pa.array(texts)):
+        for d in np.unique(doc):
+            found[int(d)] = found.get(int(d), 0) + np.bincount(bucket[doc == d], minlength=quality.BUCKETS)
+    assert set(found) == {0, 1, 4, 5}
+    for k in (0, 1):
+        assert (found[k] == np.bincount(plain_buckets(texts[k]), minlength=quality.BUCKETS)).all()
+    assert found[4].sum() == 3 and found[5].sum() == found[1].sum() + 2
 
 
 def test_top_k_is_exact(corpus):

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import xxhash
 
 from editloom.llm import graph, simhash
@@ -76,15 +77,19 @@ def test_large_groups_and_dedup(spark):
     docs = documents(spark, rows)
     got = simhash.simhash_components(docs)
     assert {x.component_id for x in got.where("doc_id <> 700").collect()} == {5}
-    kept = simhash.simhash_dedup(docs)
-    assert sorted((x.doc_id for x in kept.collect()), key=str) == [5, 700, None] and kept.columns == docs.columns
-    once = documents(spark, [(1, text, "a"), (1, text, "a")])
-    assert simhash.simhash_dedup(once).count() == 1
 
 
 def test_empty_table(spark):
     docs = documents(spark, odd_rows()).limit(0)
-    assert simhash.simhash_components(docs).count() == 0 == simhash.simhash_dedup(docs).count()
+    assert simhash.simhash_components(docs).count() == 0
+
+
+def test_long_texts_in_pieces():
+    r = random.Random(8)
+    texts = [" ".join(f"W{r.randint(0, 4000)}" for _ in range(n)) for n in (90_000, 3, 2, 150_000)]
+    texts += ["x" * 700_000, "a " + "y" * 600_000 + " b c " + "z" * 300_000, " " * 400_000, " ".join(["q" * 299_000] * 4), None]
+    got = simhash.fingerprints_of(pa.array(texts))
+    assert got.tolist() == [fingerprint(t) for t in texts]
 
 
 def test_graph(spark):
