@@ -2,7 +2,7 @@
 
 Words of a source lie in streams, one for each of its shards, cut into blocks of equal size. Blocks are dealt to sources,
 and a source's blocks to its shards, by highest quotients. A shard's quota is taken as whole passes over its stream and
-a seeded selection of blocks for the rest, so a document gets between one pass less and one pass more than its share.
+a seeded selection of blocks for the rest: those that a keyed shuffle of the blocks puts first.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from editloom.llm.common import WORD, cut, table
 #: Words in a block.
 BLOCK = 16
 #: About so many documents share a shard.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 #: A source is repeated at most so often.
 REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 42
-#: A prime above any number of blocks in a shard: its multiples visit every block once.
-_STEP = 2_147_483_647
+#: A prime above any number of blocks in a shard, multipliers modulo it, and rounds of the shuffle.
+PRIME, STEP, MIX, ROUNDS = 2_147_483_647, 48_271, 69_621, 16
 
 
 def size_of(text: Column) -> Column:
@@ -29,9 +29,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shard_of(doc_id: Column, shards: Column) -> Column:
-    """A shard by the first 32 bits of the id's MD5, which SQL engines share; 0 for null."""
-    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long") % shards, F.lit(0))
+def shard_of(doc_id: Column, digest: Column, shards: Column) -> Column:
+    """A shard by the first 32 bits of the MD5 of id and digest, which SQL engines share."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), digest)
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % shards
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -81,19 +82,30 @@ def apportion(claims: DataFrame, seats: DataFrame, by: list[str], claim: str, or
     return wide.join(keyed, same, "left").select(*claims.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).cast("long").alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, passes,
-    first_word (its place in the stream of its shard), and of that stream blocks, turn and picks: which blocks the mix
-    takes beside the whole passes follows from ``picked``.
+def _source_key(source: Column) -> Column:
+    """A source's name in joins, where null is one, too."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(""))
 
-    A null text has no words and takes none; a null source is a source of its own, last in order; documents without
-    words take none; repeated rows are taken one by one, the same in every run; empty tables give no rows; of further
-    columns none is read. Shards are formed by doc_id, so no shard, and no window, grows with a source.
+
+def _dealt(rows: DataFrame, shards: DataFrame, p: str) -> DataFrame:
+    """``rows`` (text, source, doc_id) with columns that begin with ``p``: size, digest, s (the source's key) and shard."""
+    text = F.col("text").cast("string")
+    sized = rows.withColumn(p + "size", size_of(text)).withColumn(p + "digest", F.coalesce(F.md5(text), F.lit(""))).withColumn(p + "s", _source_key(F.col("source")))
+    return _sharded(sized, shards, p)
+
+
+def _sharded(sized: DataFrame, shards: DataFrame, p: str) -> DataFrame:
+    wide = sized.crossJoin(F.broadcast(shards.withColumnRenamed("shards", p + "shards")))  # a single row
+    return wide.withColumn(p + "shard", shard_of(F.col("doc_id").cast("long"), F.col(p + "digest"), F.col(p + "shards"))).drop(p + "shards")
+
+
+def _planned(thin: DataFrame, weights: tuple[float, ...], repeats: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Number of shards (a row), and for each stream (s, shard): source_size, target, blocks, passes, picks and turn, the
+    key of its shuffle. ``thin`` has doc_id, s, source, size and digest.
     """
-    thin = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")))
-    shards = thin.agg(F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.lit(1)).cast("long").alias("shards"))
-    dealt = thin.crossJoin(F.broadcast(shards)).withColumn("shard", shard_of(F.col("doc_id"), F.col("shards"))).drop("shards")  # a single row
-    streams = cut(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")))
+    shards = cut(thin.agg(F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.lit(1)).cast("long").alias("shards")))
+    dealt = _sharded(thin.withColumnRenamed("digest", "_digest"), shards, "_")
+    streams = cut(dealt.groupBy("source", F.col("_shard").alias("shard")).agg(F.sum("size").alias("words")))
     sources = cut(targets(streams.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats))
     total = sources.agg(F.round(F.coalesce(F.sum("target"), F.lit(0.0)) / block).cast("long").alias("seats"))
     quotas = apportion(sources, total, [], "target", ["rank"])
@@ -101,46 +113,86 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     shares = apportion(ranked.select("rank", "shard", "words"), ranked.select("rank", "seats").distinct(), ["rank"], "words", ["rank", "shard"])
     plan = shares.join(sources, "rank").withColumn("blocks", F.ceil(F.col("words") / block).cast("long")).withColumn("quota", F.least("quota", F.col("blocks") * repeats))
     plan = plan.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("picks", F.col("quota") - F.col("passes") * F.col("blocks")).withColumn("turn", ((F.lit(seed) * 7919 + F.col("rank") * 104_729 + F.col("shard") * 1_299_709) % F.greatest("blocks", F.lit(1))).cast("long"))
-    plan = plan.select(F.col("source").alias("_s"), F.col("shard").alias("_p"), "source_size", "target", "blocks", "passes", "picks", "turn")
-    at = Window.partitionBy("source", "shard").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("first_word", F.coalesce(F.sum("size").over(at), F.lit(0)).cast("long"))
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_p")))
-    last = F.col("first_word") + F.col("size") - 1
+    turn = ((F.lit(seed) * 7919 + F.col("rank") * 104_729 + F.col("shard") * 1_299_709) % PRIME).cast("long")
+    plan = plan.withColumn("picks", F.col("quota") - F.col("passes") * F.col("blocks")).withColumn("turn", turn)
+    return shards, cut(plan.select(_source_key(F.col("source")).alias("s"), "shard", "source_size", "target", F.greatest("blocks", F.lit(1)).alias("blocks"), "passes", "picks", "turn"))
+
+
+def _joined(dealt: DataFrame, plan: DataFrame, block: int, p: str) -> DataFrame:
+    """The rows with their stream's plan, first_word (their place in it), flags (whether each block that they lie in is
+    picked, null if none or all are) and taken; names begin with ``p``. Window and join share one shuffle.
+    """
+    of = lambda name: F.col(p + name)
+    at = Window.partitionBy(p + "s", p + "shard").orderBy(F.col("doc_id").cast("long"), of("digest")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn(p + "first_word", F.coalesce(F.sum(of("size")).over(at), F.lit(0)).cast("long"))
+    rows = placed.join(plan.select(*(F.col(c).alias(p + c) for c in plan.columns)), [p + "s", p + "shard"])
+    first, last = F.floor(of("first_word") / block), F.floor((of("first_word") + of("size") - 1) / block)
+    flags = F.when((of("size") > 0) & (of("picks") > 0), F.transform(F.sequence(first, last), lambda j: picked(j, of("blocks"), of("turn"), of("picks"))))
+    rows = rows.withColumn(p + "flags", flags)
+    end = of("first_word") + of("size")
     part = F.aggregate(
-        F.sequence(F.floor(F.col("first_word") / block), F.floor(last / block)),
+        F.sequence(first, last),
         F.lit(0).cast("long"),
-        lambda sum_, j: sum_ + F.when(picked(j, *map(F.col, ("blocks", "turn", "picks"))), F.least(last + 1, (j + 1) * block) - F.greatest(F.col("first_word"), j * block)).otherwise(0).cast("long"),
+        lambda sum_, j: sum_ + F.when(F.get(of("flags"), (j - first).cast("int")), F.least(end, (j + 1) * block) - F.greatest(of("first_word"), j * block)).otherwise(0).cast("long"),
     )
-    taken = F.when(F.col("size") > 0, F.col("size") * F.col("passes") + part).otherwise(0).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "picks", "blocks", "turn", "first_word")
+    taken = F.when(of("size") > 0, of("size") * of("passes") + F.when(of("flags").isNotNull(), part).otherwise(0)).otherwise(0).cast("long")
+    return rows.withColumn(p + "taken", taken)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+
+    A null text has no words and takes none; a null source is a source of its own, last in order; documents without
+    words take none; very long texts count whole; repeated rows are taken one by one, the same in every run (rows that
+    agree in id and text change places only with each other); empty tables give no rows; of further columns none is
+    read. Shards are formed by doc_id and text, so no shard, and no window, grows with a source.
+    """
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    text = F.col("text").cast("string")
+    thin = cut(given.select("doc_id", "source", size_of(text).alias("size"), F.coalesce(F.md5(text), F.lit("")).alias("digest")))
+    shards, plan = _planned(thin, weights, repeats, block, seed)
+    dealt = _sharded(thin.select("doc_id", "source", F.col("size").alias("_size"), F.col("digest").alias("_digest"), _source_key(F.col("source")).alias("_s")), shards, "_")
+    rows = _joined(dealt, plan, block, "_")
+    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
 def picked(j: Column, blocks: Column, turn: Column, picks: Column) -> Column:
-    """Whether block ``j`` of a stream is one of its ``picks``: a seeded permutation puts it among the first."""
-    n = F.greatest(blocks, F.lit(1))
-    return (j * (_STEP % n) + turn) % n < picks
+    """Whether block ``j`` of a stream is one of its ``picks``: whether a swap-or-not shuffle puts it among the first.
+
+    Every round pairs the places of all blocks, x with its mirror image about a key, and swaps a pair or not by a hash of
+    the larger one; so it is a permutation for any number of blocks.
+    """
+
+    def swap(x: Column, r: Column) -> Column:
+        key = (turn + r * 40_014) % PRIME
+        key = key * key % PRIME * STEP % PRIME
+        other = (key % blocks + blocks - x) % blocks
+        h = (F.greatest(x, other) + key) % PRIME
+        return F.when(h * h % PRIME * MIX % PRIME >= 1 << 30, other).otherwise(x)
+
+    rounds = F.array(*(F.lit(r).cast("long") for r in range(1, ROUNDS + 1)))
+    return F.when(picks >= blocks, True).otherwise(F.aggregate(rounds, j.cast("long"), swap) < picks)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it has whole passes, and once more with
     the words of its picked blocks (joined by single spaces) if they are not all or none.
 
-    Rows that share a doc_id and a size share a plan; rows with a null doc_id are taken like any other.
+    Every row has a plan of its own, the one of ``mix``, whatever ids or texts it shares with others.
     """
     p = "_"
     while any(c.startswith(p) for c in docs.columns):  # names that no column of docs has
         p += "_"
-    plan = cut(mix(docs, weights, repeats, block, seed).groupBy("doc_id", "source", "size").agg(*(F.min(c).alias(c) for c in ("taken", "passes", "picks", "blocks", "turn", "first_word"))))
-    plan = plan.where("taken > 0").select(*(F.col(c).alias(p + c) for c in plan.columns))
     of = lambda name: F.col(p + name)
     text = F.col("text").cast("string")
-    rows = docs.withColumn(p + "n", size_of(text))
-    same = F.col("doc_id").cast("long").eqNullSafe(of("doc_id")) & F.col("source").cast("string").eqNullSafe(of("source")) & (of("n") == of("size"))
-    rows = rows.join(plan, same)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    thin = cut(given.select("doc_id", "source", size_of(text).alias("size"), F.coalesce(F.md5(text), F.lit("")).alias("digest")))
+    shards, plan = _planned(thin, weights, repeats, block, seed)
+    rows = _joined(_dealt(docs, shards, p), plan, block, p).where(of("taken") > 0)
     some = of("taken") - of("passes") * of("size")
-    hit = lambda j: picked(j, of("blocks"), of("turn"), of("picks"))
-    words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w, k: hit(F.floor((of("first_word") + k) / block))), " ")
+    first = F.floor(of("first_word") / block)
+    hit = lambda k: F.get(of("flags"), (F.floor((of("first_word") + k) / block) - first).cast("int"))
+    words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w, k: hit(k)), " ")
     extra = F.when(some == of("size"), F.array(text)).when(some > 0, F.array(words)).otherwise(F.array().cast("array<string>"))
     out = rows.withColumn(p + "copy", F.explode(F.concat(F.array_repeat(text, of("passes").cast("int")), extra)))
     cols = [of("copy").alias(c) if c == "text" else F.length(of("copy")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
@@ -169,9 +221,13 @@ def op2_sql() -> str:
 {name}_f as (select {order}, count(*) won from {name}_e where place <= a_open group by {order}),
 {name} as (select a.*, (a.sure + coalesce(b.won, 0))::bigint quota from {name}_c a left join {name}_f b on {same})"""
 
+    key = f"(((turn + r * 40014) % {PRIME}) * ((turn + r * 40014) % {PRIME}) % {PRIME} * {STEP} % {PRIME})"
+    other = f"(({key} % blocks + blocks - x) % blocks)"
+    h = f"((greatest(x, {other}) + {key}) % {PRIME})"
+    swap = f"lambda x, r: case when {h} * {h} % {PRIME} * {MIX} % {PRIME} >= {1 << 30} then {other} else x end"
     return f"""
-with thin as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
-dealt as (select *, coalesce(('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % (select greatest(ceil(count(*) / {SHARD_ROWS}.0), 1)::bigint from thin), 0) shard from thin),
+with thin as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size, coalesce(md5(text), '') digest from documents),
+dealt as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || digest), 1, 8))::bigint % (select greatest(ceil(count(*) / {SHARD_ROWS}.0), 1)::bigint from thin) shard from thin),
 streams as (select source, shard, sum(size)::bigint words from dealt group by all),
 sizes as (select source, sum(words)::bigint source_size from streams group by all),
 ranked as (select *, row_number() over (order by source nulls last) - 1 as rank from sizes),
@@ -186,10 +242,10 @@ claims as (select q.rank, st.shard, st.words from streams st join q on st.source
 quotas as (select rank, quota seats from q),
 {apportion_sql('s', 'claims', 'quotas', 'rank', 'words', 'rank, shard')},
 plan as (select s.rank, s.shard, ceil(words / {BLOCK}.0)::bigint blocks, least(s.quota, ceil(words / {BLOCK}.0)::bigint * {REPEATS}) quota from s),
-turns as (select *, case when blocks > 0 then quota // blocks else 0 end passes, ({SEED} * 7919 + rank * 104729 + shard * 1299709) % greatest(blocks, 1) turn from plan),
-placed as (select *, coalesce(sum(size) over (partition by source, shard order by doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint first_word from dealt),
+turns as (select *, case when blocks > 0 then quota // blocks else 0 end passes, ({SEED} * 7919 + rank * 104729 + shard * 1299709) % {PRIME} turn from plan),
+placed as (select *, coalesce(sum(size) over (partition by source, shard order by doc_id nulls first, digest rows between unbounded preceding and 1 preceding), 0)::bigint first_word from dealt),
 joined as (select p.*, src.source_size, src.target, t.passes, t.quota - t.passes * t.blocks picks, greatest(t.blocks, 1) blocks, t.turn
   from placed p join sources src on p.source is not distinct from src.source join turns t on t.rank = src.rank and t.shard = p.shard)
 select doc_id, size, source_size, target, case when size > 0 then size * passes + list_sum(list_transform(range(first_word // {BLOCK}, (first_word + size - 1) // {BLOCK} + 1),
-  lambda j: case when (j * ({_STEP} % blocks) + turn) % blocks < picks then least(first_word + size, (j + 1) * {BLOCK}) - greatest(first_word, j * {BLOCK}) else 0 end)) else 0 end::bigint taken, source
+  lambda j: case when list_reduce(range(1, {ROUNDS + 1}), {swap}, j) < picks then least(first_word + size, (j + 1) * {BLOCK}) - greatest(first_word, j * {BLOCK}) else 0 end)) else 0 end::bigint taken, source
 from joined"""

@@ -79,3 +79,39 @@ def test_empty(spark):
     assert mixing.mix(docs).count() == 0 == mixing.mixed_documents(docs).count()
     none = documents(spark, [(1, None, "a"), (2, "", "b")])
     assert [x.taken for x in mixing.mix(none).collect()] == [0, 0]
+
+
+def test_rows_that_share_an_id_keep_plans_of_their_own(spark):
+    rows = [(None, " ".join(f"n{k}y{j}" for j in range(100)), "b") for k in range(9)] + [(7, " ".join(f"t{k}y{j}" for j in range(90)), "b") for k in range(9)]
+    rows += [(100 + k, " ".join(f"w{k}x{j}" for j in range(80)), "a") for k in range(12)] + [(7, rows[9][1], "b")] * 3
+    docs = documents(spark, rows)
+    words = lambda t: F.sum(mixing.size_of(F.col(t)))
+    want = {x.source: x.w for x in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("w")).collect()}
+    got = {x.source: x.w for x in mixing.mixed_documents(docs).groupBy("source").agg(words("text").alias("w")).collect()}
+    assert got == {s: w for s, w in want.items() if w} and 0 < want["a"] < 12 * 80 * 3
+
+
+def test_picks_are_seeded_and_exact(spark):
+    df = spark.range(1000).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 7, 11, 462, 693, 1000))))).where("id < k")
+    for turn in (5, 6):
+        hit = df.withColumn("hit", mixing.picked(F.col("id"), F.col("k"), F.lit(turn), F.ceil(F.col("k") / 3)))
+        rows = hit.collect()
+        for k in (1, 2, 3, 7, 11, 462, 693, 1000):
+            took = [x.id for x in rows if x.k == k and x.hit]
+            assert len(took) == -(-k // 3)
+            if k > 400:  # neither a run nor even steps
+                assert 0.6 < sum(b - a > 1 for a, b in zip(took, took[1:])) / len(took) < 0.74
+                assert 0.4 < sum(t < k / 2 for t in took) / len(took) < 0.6
+
+
+def test_sql_agrees(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = odd_rows() + [(200 + k, " ".join(f"w{k}x{j}" for j in range(50 + k)), "abc"[k % 3]) for k in range(90)]
+    documents_ = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents_)
+    want = con.sql(mixing.op2_sql()).fetchall()
+    got = mixing.mix(documents(spark, rows)).select("doc_id", "size", "source_size", "target", "taken", "source").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
