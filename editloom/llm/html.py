@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from editloom.llm.common import table
 
-#: Elements are nested so deep at most; deeper ones keep their text but open no level.
-DEPTH = 150
+#: Fixed values, as in browsers and the HTML standard: how deep elements are nested (deeper ones keep their text but open
+#: no level), and how many columns and rows a cell may span.
+DEPTH, COLUMNS, ROWS = 512, 1000, 65_534
 
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""", re.S)
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A quote opens a value only behind an equals sign.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+_TAG = re.compile(rf"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<open>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)>|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 _words = lambda s: frozenset(s.split())
@@ -48,10 +52,113 @@ _IN_TABLE = _words("caption colgroup col thead tbody tfoot tr td th script style
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "style")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.style: tuple[bool, bool | None] = (True, None)  # displayed; visible, hidden or as the parent
+
+
+class Rule:
+    """A rule of a style sheet: what its selector asks of an element and of those around it, and what it sets."""
+
+    def __init__(self, selector: str, order: int, sets: dict[str, tuple[bool, str]]):
+        self.sets = sets
+        self.steps: list[tuple[str, str, set[str], set[str]]] = []  # (how it is joined to the next, tag, ids, classes)
+        for join, tag, marks in re.findall(r"\s*([> ]?)\s*([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+)*)", selector.strip()):
+            if tag or marks:
+                of = lambda c: {m[1:] for m in re.findall(r"[#.][\w-]+", marks) if m[0] == c}  # noqa: B023, E731
+                self.steps.append((join, tag.lower(), of("#"), of(".")))
+        self.weight = (sum(len(s[2]) for s in self.steps), sum(len(s[3]) for s in self.steps), sum(s[1] not in ("", "*") for s in self.steps), order)
+
+    def fits(self, node: Node, above: list[Node]) -> bool:
+        if not self.steps or not _is(node, self.steps[-1]):
+            return False
+        k, join = len(above) - 1, self.steps[-1][0]
+        for step in reversed(self.steps[:-1]):
+            while k >= 0 and not _is(above[k], step):
+                if join == ">":
+                    return False
+                k -= 1
+            if k < 0:
+                return False
+            k, join = k - 1, step[0]
+        return True
+
+
+def _is(node: Node, step: tuple[str, str, set[str], set[str]]) -> bool:
+    _, tag, ids, classes = step
+    return tag in ("", "*", node.tag) and (not ids or ids == {node.attrs.get("id", "")}) and classes <= set(node.attrs.get("class", "").split())
+
+
+def _declared(body: str) -> dict[str, tuple[bool, str]]:
+    """Of a list of declarations what bears on visibility: property, (whether important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in body.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), re.sub(r"\s+", "", value)
+        if name in ("display", "visibility", "content-visibility") and value:
+            new = (value.endswith("!important"), value.removesuffix("!important"))
+            if name not in out or new[0] >= out[name][0]:
+                out[name] = new
+    return out
+
+
+def style_rules(sheets: list[str]) -> list[Rule]:
+    """The rules of style sheets that bear on visibility: selectors of tags, classes and ids, one within another.
+
+    Rules under conditions (``@media`` but for all and screen, ``@supports`` and others) and selectors of other kinds
+    are left out, so that text stays in doubt.
+    """
+    out: list[Rule] = []
+    for sheet in sheets:
+        text = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", sheet, flags=re.S)
+        text = re.sub(r"@(?:import|charset|namespace)[^;{]*;", " ", text)
+        blocks, skipped = [True], 0  # whether what is open counts
+        at = 0
+        for m in re.finditer(r"([^{}]*)([{}])", text):
+            head, brace = m[1].strip(), m[2]
+            if brace == "{":
+                if head.startswith("@"):
+                    media = re.fullmatch(r"@media\s+(?:only\s+)?(?:all|screen)\s*", head.lower())
+                    blocks.append(blocks[-1] and bool(media))
+                else:
+                    blocks.append(blocks[-1])
+                    at = m.end()
+                    held = head
+                    skipped = len(blocks)
+            else:
+                if skipped == len(blocks) and len(blocks) > 1 and blocks[-1]:
+                    if sets := _declared(text[at : m.end(1)]):
+                        out += [Rule(s, len(out), sets) for s in held.split(",") if re.fullmatch(r"\s*[\w#.*-]+(?:\s*[> ]\s*[\w#.*-]+)*\s*", s)]
+                skipped = 0
+                if len(blocks) > 1:
+                    blocks.pop()
+    return out
+
+
+def set_styles(root: Node, sheets: list[str]) -> None:
+    """Sets ``style`` of every element: whether it is displayed, and whether it says that it is visible or hidden."""
+    rules = style_rules(sheets)
+    stack: list[tuple[Node, int]] = [(x, 1) for x in reversed(root.children) if isinstance(x, Node)]
+    above: list[Node] = [root]
+    while stack:
+        node, depth = stack.pop()
+        del above[depth:]
+        won: dict[str, tuple[tuple, str]] = {}
+        for r in rules:
+            if r.fits(node, above):
+                for name, (important, value) in r.sets.items():
+                    if name not in won or ((important, 0), r.weight) >= won[name][0]:
+                        won[name] = (((important, 0), r.weight), value)
+        for name, (important, value) in _declared(node.attrs["style"]).items() if "style" in node.attrs else ():
+            if name not in won or (important, 1) >= won[name][0][0]:
+                won[name] = (((important, 1), ()), value)
+        shown = won.get("display", ((), ""))[1] != "none" and won.get("content-visibility", ((), ""))[1] != "hidden"
+        visible = {"visible": True, "hidden": False, "collapse": False}.get(won.get("visibility", ((), ""))[1])
+        node.style = (shown, visible)
+        above.append(node)
+        stack += [(x, depth + 1) for x in reversed(node.children) if isinstance(x, Node)]
 
 
 def parse(source: str) -> Node:
@@ -103,7 +210,9 @@ def parse(source: str) -> Node:
             tag, raw = name.lower(), m["attrs"]
             if tag == "html":
                 continue
-            attrs = {k.lower(): entities.unescape(next((x for x in v if x), "")) for k, *v in _ATTR.findall(raw)} if raw else {}
+            attrs: dict[str, str] = {}
+            for k, *v in _ATTR.findall(raw) if raw else ():  # of attributes with one name the first counts
+                attrs.setdefault(k.lower(), entities.unescape(next((x for x in v if x), "")))
             if stack[-1].tag == "head" and tag not in _IN_HEAD:
                 stack.pop()
             if tag in _CLOSES_P:
@@ -142,13 +251,17 @@ def parse(source: str) -> Node:
 
 
 def unseen(node: Node) -> bool:
-    """Visibility by element, the attributes hidden and open, input type and inline style."""
+    """Whether an element takes no part in the layout: by its name, the attributes hidden and open, and its style."""
     if node.tag in UNSEEN or "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found":
         return True
     if node.tag == "dialog" and "open" not in node.attrs or node.tag == "input":
         return True
-    style = node.attrs.get("style")
-    return bool(style) and bool(re.search(r"(?:^|;)(?:display:none|visibility:(?:hidden|collapse)|content-visibility:hidden)(?:!important)?(?:;|$)", re.sub(r"\s+", "", style.lower())))
+    return not node.style[0]
+
+
+def visible(node: Node, seen: bool) -> bool:
+    """Whether text in the element is seen; hidden text can have visible text within."""
+    return seen if node.style[1] is None else node.style[1]
 
 
 def breadth(s: str) -> int:
@@ -240,19 +353,19 @@ def _marker(node: Node, number: int) -> str:
     return f"{number}. "
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    """Rows of a table, those of its head first and of its foot last, as they are shown."""
-    groups = {"thead": [], "tfoot": [], "": []}
+def _rows(node: Node, seen: bool) -> Iterator[tuple[Node, bool]]:
+    """Rows of a table and whether their text is seen; those of its head first and of its foot last, as they are shown."""
+    groups: dict[str, list[tuple[Node, bool]]] = {"thead": [], "tfoot": [], "": []}
     for x in node.children:
         if isinstance(x, Node) and not unseen(x):
             if x.tag == "tr":
-                groups[""].append(x)
+                groups[""].append((x, visible(x, seen)))
             elif x.tag in ("thead", "tbody", "tfoot"):
-                groups[x.tag if x.tag in groups else ""] += [y for y in x.children if isinstance(y, Node) and y.tag == "tr" and not unseen(y)]
+                groups[x.tag if x.tag in groups else ""] += [(y, visible(y, visible(x, seen))) for y in x.children if isinstance(y, Node) and y.tag == "tr" and not unseen(y)]
     return iter(groups["thead"] + groups[""] + groups["tfoot"])
 
 
-def table_lines(node: Node) -> list[str]:
+def table_lines(node: Node, seen: bool) -> list[str]:
     """The rows of a table, each column as wide as its widest cell, two spaces between columns.
 
     A cell over several columns counts for their width only if they are too narrow together, then the last one grows; a
@@ -260,7 +373,7 @@ def table_lines(node: Node) -> list[str]:
     """
     placed: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}
-    for row in _rows(node):
+    for row, of_row in _rows(node, seen):
         here, column = [], 0
         for x in row.children:
             if not isinstance(x, Node) or x.tag not in ("td", "th") or unseen(x):
@@ -268,10 +381,10 @@ def table_lines(node: Node) -> list[str]:
             while taken.get(column, 0) > 0:
                 column += 1
             flow = Flow()
-            show(x.children, flow, False, 0)
-            span = min(max(1, _number(x.attrs.get("colspan", "1"), 1)), 100)
+            show(x.children, flow, False, 0, visible(x, of_row))
+            span = min(max(1, _number(x.attrs.get("colspan", "1"), 1)), COLUMNS)
             here.append((column, span, flow.done()))
-            down = min(max(1, _number(x.attrs.get("rowspan", "1"), 1)), 10_000)
+            down = min(max(1, _number(x.attrs.get("rowspan", "1"), 1)), ROWS)
             for k in range(column, column + span):
                 taken[k] = down if down > 1 else 1
             column += span
@@ -300,34 +413,35 @@ def table_lines(node: Node) -> list[str]:
     return out
 
 
-def show(children: list, flow: Flow, as_is: bool, level: int) -> None:
-    """The children of an element, into ``flow``; ``level`` counts the lists around."""
+def show(children: list, flow: Flow, as_is: bool, level: int, seen: bool = True) -> None:
+    """The children of an element, into ``flow``; ``level`` counts the lists around, ``seen`` is what they inherit."""
     for x in children:
         if isinstance(x, str):
-            flow.text(x, as_is)
+            if seen:
+                flow.text(x, as_is)
             continue
         tag = x.tag
         if unseen(x):
             continue
+        now = visible(x, seen)
         if tag == "br":
-            flow.end(True)
+            if now:
+                flow.end(True)
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.block(level == 0)
-            _list(x, flow, level)
+            _list(x, flow, level, now)
             flow.block(level == 0)
         elif tag == "table":
             flow.block(True)
             for y in x.children:
-                if isinstance(y, str):
-                    flow.text(y, False)
-                elif y.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):  # captions, and what has no place in a table
-                    show([y], flow, False, level)
+                if isinstance(y, str) or y.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):  # captions, and what has no place in a table
+                    show([y], flow, False, level, now)
             flow.end()
-            flow.add(table_lines(x))
+            flow.add(table_lines(x, now))
             flow.block(True)
         elif tag in ("blockquote", "dd"):
             inner = Flow()
-            show(x.children, inner, as_is, level)
+            show(x.children, inner, as_is, level, now)
             flow.block(tag in SPACED)
             flow.add(inner.done(), "  ", "  ")
             flow.block(tag in SPACED)
@@ -337,13 +451,13 @@ def show(children: list, flow: Flow, as_is: bool, level: int) -> None:
             inside = x.children
             if kept and inside and isinstance(inside[0], str):
                 inside = [re.sub(r"\A\r?\n", "", inside[0]), *inside[1:]]
-            show(inside, flow, as_is or kept, level)
+            show(inside, flow, as_is or kept, level, now)
             flow.block(tag in SPACED)
         else:
-            show(x.children, flow, as_is or tag == "textarea", level)
+            show(x.children, flow, as_is or tag == "textarea", level, now)
 
 
-def _list(node: Node, flow: Flow, level: int) -> None:
+def _list(node: Node, flow: Flow, level: int, seen: bool) -> None:
     items = sum(isinstance(y, Node) and y.tag == "li" for y in node.children)
     down = "reversed" in node.attrs
     number = _number(node.attrs.get("start", ""), items if down else 1)
@@ -352,17 +466,41 @@ def _list(node: Node, flow: Flow, level: int) -> None:
             number = _number(y.attrs.get("value", ""), number)
             mark = _marker(node, number) if node.tag == "ol" else "- "
             inner = Flow()
-            show(y.children, inner, False, level + 1)
-            flow.add(inner.done() or [""], mark, " " * len(mark))
+            now = visible(y, seen)
+            show(y.children, inner, False, level + 1, now)
+            lines = inner.done()
+            if lines or now:
+                flow.add(lines or [""], mark if now else " " * len(mark), " " * len(mark))
             number += -1 if down else 1
         else:
-            show([y], flow, False, level + 1)
+            show([y], flow, False, level + 1, seen)
+
+
+def _sheets(node: Node) -> list[str]:
+    """The style sheets in a page that hold on a screen, in order."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if x.tag == "style":
+            if x.attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+                out += [s for s in x.children if isinstance(s, str)]
+        else:
+            stack += [y for y in reversed(x.children) if isinstance(y, Node)]
+    return out
 
 
 def render(source: str) -> str:
     """The visible text of a page."""
-    flow = Flow()
-    show(parse(source.replace("\0", "")).children, flow, False, 0)
+    tree, flow = parse(source.replace("\0", "")), Flow()
+    sheets = _sheets(tree)
+    if sheets or "style" in source or "STYLE" in source or "Style" in source:
+        set_styles(tree, sheets)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 20 * DEPTH))  # a few frames a level
+    try:
+        show(tree.children, flow, False, 0)
+    finally:
+        sys.setrecursionlimit(before)
     return "\n".join(flow.done())
 
 

@@ -25,13 +25,23 @@ TEMPLATES = {
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "cc0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal license."),
     "gpl-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2."),
     "gpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 3."),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."),
     "lgpl-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 3."),
     "mit": ("Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "Licensed under the MIT license."),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
 }
+#: Names of the families in tags that stand for a notice (SPDX), which are templates, too.
+TAGS = {
+    "agpl-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "apache-2.0": ("Apache-2.0",), "bsd-3-clause": ("BSD-3-Clause",), "cc-by-4.0": ("CC-BY-4.0",), "cc-by-nc-4.0": ("CC-BY-NC-4.0",),
+    "cc-by-sa-4.0": ("CC-BY-SA-4.0",), "cc0-1.0": ("CC0-1.0",), "gpl-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"), "gpl-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"), "isc": ("ISC",),
+    "lgpl-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later"), "mit": ("MIT",), "mpl-2.0": ("MPL-2.0",), "unlicense": ("Unlicense",),
+}
+for _family, _names in TAGS.items():
+    TEMPLATES[_family] += tuple(f"SPDX-License-Identifier: {name}" for name in _names)
 #: Paragraphs with the same words that put nothing under a licence.
 OTHERS = (
     "All rights reserved. No part of this publication may be reproduced without permission of the publisher.",
@@ -50,7 +60,7 @@ OTHERS = (
     "A warranty is granted for two years under the conditions that the dealer publishes.",
 )
 #: A paragraph with one of these words is scanned. Every template has one.
-ANCHORS = ("license", "licensed", "licence", "licenced", "licenses", "licences", "copyright", "permission", "redistribution", "warranty")
+ANCHORS = ("license", "licensed", "licence", "licenced", "licenses", "licences", "copyright", "permission", "redistribution", "warranty", "unencumbered", "unlicense", "cc0")
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: A word that a line's end breaks behind a hyphen: what leads the next line, and the rest of the word.
 BROKEN = r"(?<=[A-Za-z0-9])-\n([^A-Za-z0-9\n]*)([A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*)"

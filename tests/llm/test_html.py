@@ -23,6 +23,16 @@ CASES = {
     "<h1>x</h2><h2>y": "x\n\ny",
     "<textarea> a &lt; b </textarea>": " a < b ",
     "<table>lost<tr>too<td>cell</table>": "losttoo\n\ncell",
+    "<p title=it's>hello</p><p>bye</p>": "hello\n\nbye", "<a b='x>y' c = \"p'q>\" d=/>in</a>": "in", "<p a='unclosed>text</p>": "text",
+    "<div style='visibility:hidden'>a<p style='visibility: visible'>b</p>c</div>d": "b\n\nd",
+    "<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>": "b",
+    "<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>": "- b",
+    "<style>.x{display:none} #k, em {visibility:hidden}</style><p class='y x'>a</p><p id=k>b</p>c <em>d</em>": "c",
+    "<style>.x p{display:none} div>b{display:none !important} /* p{display:none} */</style><div class=x><i><p>a</p></i></div><p>b</p><div><b style='display:inline'>c</b><i><b>d</b></i></div>": "b\n\nd",
+    "<style>@media print{p{display:none}} @media screen{b{display:none}} p:hover{display:none}</style><p>a</p><b>c</b>": "a",
+    "<style>p{display:none}.s{display:block}</style><p>a</p><p class=s>b</p><p style='display:block'>c</p>": "b\n\nc",
+    "<style>p{visibility:visible}</style><p style='visibility:hidden'>a</p><p style=display:none style=x>b</p>c": "c",
+    "<table><tr><td colspan=300>a<td>b<tr><td rowspan=70000>c<td>d</table>": "a     b\nc  d",
     "": "", " \n ": "", "<p></p><p> </p>": "",
 }
 
@@ -50,6 +60,36 @@ def test_every_word_survives():
         assert sorted(x for x in render(source).split() if x.startswith("w")) == sorted(words), source
 
 
+def tree(r, depth, seen, out):
+    """A random page, as source; what a reader sees of it goes to ``out`` word by word."""
+    source = ""
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["word", "word", "block", "inline", "hide", "invisible", "shown", "class", "skip"]) if depth else "word"
+        if kind == "word":
+            word = f"w{r.randint(0, 10**9)}"
+            source += f" {word} "
+            if seen is True:
+                out.append(word)
+            continue
+        if kind == "skip":
+            source += r.choice(["<!-- <p>no</p> -->", "<script>if (a<b) document.write('<p>no')</script>", "<template><p>no</p></template>", "<br>"])
+            continue
+        mark = {"block": "", "inline": "", "hide": r.choice([" hidden", " style='display:none'", ' class="a gone"']), "invisible": " style='VISIBILITY : hidden'", "shown": " style='visibility:visible'", "class": " class='dim'"}[kind]
+        tag = r.choice(["div", "section", "article", "blockquote"] if kind in ("block", "hide") else ["span", "b", "i", "q"])
+        now = None if kind == "hide" or seen is None else {"invisible": False, "shown": True, "class": False}.get(kind, seen)
+        source += f"<{tag}{mark}>{tree(r, depth - 1, now, out)}</{tag}>"
+    return source
+
+
+def test_what_is_seen_of_random_pages():
+    """Against the plain rule, element by element: not displayed takes all within, visibility is inherited."""
+    r = random.Random(12)
+    for _ in range(400):
+        words: list[str] = []
+        source = "<style>.gone{display:none}.dim{visibility:hidden}</style>" + tree(r, 5, True, words)
+        assert render(source).split() == words, source
+
+
 def test_table(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
