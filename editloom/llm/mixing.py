@@ -2,7 +2,7 @@
 
 Words of a source lie in streams, one for each of its shards, cut into blocks of equal size. Blocks are dealt to sources,
 and a source's blocks to its shards, by highest quotients. A shard's quota is taken as whole passes over its stream and
-a seeded selection of blocks for the rest: those that a keyed shuffle of the blocks puts first.
+a seeded selection of blocks for the rest: those that come first in the order of a keyed hash.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ SHARD_ROWS = 4_000
 REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 42
-#: A prime above any number of blocks in a shard, multipliers modulo it, and rounds of the shuffle.
-PRIME, STEP, MIX, ROUNDS = 2_147_483_647, 48_271, 69_621, 16
+#: A prime above any number of blocks in a shard, and multipliers modulo it.
+PRIME, STEP, MIX = 2_147_483_647, 48_271, 69_621
 
 
 def size_of(text: Column) -> Column:
@@ -82,6 +82,13 @@ def apportion(claims: DataFrame, seats: DataFrame, by: list[str], claim: str, or
     return wide.join(keyed, same, "left").select(*claims.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).cast("long").alias("quota"))
 
 
+def order_of(j: Column, turn: Column) -> Column:
+    """A number for block ``j`` of a stream, by whose order its blocks are picked: a keyed hash, then the block itself."""
+    first = (j * STEP + turn) % PRIME
+    second = (first * first % PRIME * MIX + j + turn) % PRIME
+    return second * second % PRIME * STEP % PRIME * (1 << 31) + j
+
+
 def _source_key(source: Column) -> Column:
     """A source's name in joins, where null is one, too."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(""))
@@ -100,8 +107,8 @@ def _sharded(sized: DataFrame, shards: DataFrame, p: str) -> DataFrame:
 
 
 def _planned(thin: DataFrame, weights: tuple[float, ...], repeats: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Number of shards (a row), and for each stream (s, shard): source_size, target, blocks, passes, picks and turn, the
-    key of its shuffle. ``thin`` has doc_id, s, source, size and digest.
+    """Number of shards (a row), and for each stream (s, shard): source_size, target, blocks, passes, picks, turn (the
+    key of its order) and last, the last number in this order that is picked. ``thin`` has doc_id, source, size and digest.
     """
     shards = cut(thin.agg(F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.lit(1)).cast("long").alias("shards")))
     dealt = _sharded(thin.withColumnRenamed("digest", "_digest"), shards, "_")
@@ -115,27 +122,32 @@ def _planned(thin: DataFrame, weights: tuple[float, ...], repeats: int, block: i
     plan = plan.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long"))
     turn = ((F.lit(seed) * 7919 + F.col("rank") * 104_729 + F.col("shard") * 1_299_709) % PRIME).cast("long")
     plan = plan.withColumn("picks", F.col("quota") - F.col("passes") * F.col("blocks")).withColumn("turn", turn)
-    return shards, cut(plan.select(_source_key(F.col("source")).alias("s"), "shard", "source_size", "target", F.greatest("blocks", F.lit(1)).alias("blocks"), "passes", "picks", "turn"))
+    plan = cut(plan.select(_source_key(F.col("source")).alias("s"), "shard", "source_size", "target", "blocks", "passes", "picks", "turn"))
+    each = plan.where((F.col("picks") > 0) & (F.col("picks") < F.col("blocks"))).repartition("s", "shard")  # blocks are made where they are put in order
+    each = each.select("s", "shard", "picks", "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")).select("s", "shard", "picks", order_of(F.col("j"), F.col("turn")).alias("last"))
+    place = F.row_number().over(Window.partitionBy("s", "shard").orderBy("last"))
+    lasts = each.withColumn("place", place).where(F.col("place") == F.col("picks")).select("s", "shard", "last")
+    every = F.when(F.col("picks") > 0, F.lit(2**63 - 1)).otherwise(-1)
+    return shards, cut(plan.join(lasts, ["s", "shard"], "left").withColumn("last", F.coalesce("last", every)))
 
 
 def _joined(dealt: DataFrame, plan: DataFrame, block: int, p: str) -> DataFrame:
-    """The rows with their stream's plan, first_word (their place in it), flags (whether each block that they lie in is
-    picked, null if none or all are) and taken; names begin with ``p``. Window and join share one shuffle.
+    """The rows with their stream's plan, first_word (their place in it) and taken; names begin with ``p``. Window and join
+    share one shuffle.
     """
     of = lambda name: F.col(p + name)
     at = Window.partitionBy(p + "s", p + "shard").orderBy(F.col("doc_id").cast("long"), of("digest")).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn(p + "first_word", F.coalesce(F.sum(of("size")).over(at), F.lit(0)).cast("long"))
     rows = placed.join(plan.select(*(F.col(c).alias(p + c) for c in plan.columns)), [p + "s", p + "shard"])
     first, last = F.floor(of("first_word") / block), F.floor((of("first_word") + of("size") - 1) / block)
-    flags = F.when((of("size") > 0) & (of("picks") > 0), F.transform(F.sequence(first, last), lambda j: picked(j, of("blocks"), of("turn"), of("picks"))))
-    rows = rows.withColumn(p + "flags", flags)
     end = of("first_word") + of("size")
+    hit = lambda j: order_of(j, of("turn")) <= of("last")
     part = F.aggregate(
         F.sequence(first, last),
         F.lit(0).cast("long"),
-        lambda sum_, j: sum_ + F.when(F.get(of("flags"), (j - first).cast("int")), F.least(end, (j + 1) * block) - F.greatest(of("first_word"), j * block)).otherwise(0).cast("long"),
+        lambda sum_, j: sum_ + F.when(hit(j), F.least(end, (j + 1) * block) - F.greatest(of("first_word"), j * block)).otherwise(0).cast("long"),
     )
-    taken = F.when(of("size") > 0, of("size") * of("passes") + F.when(of("flags").isNotNull(), part).otherwise(0)).otherwise(0).cast("long")
+    taken = F.when(of("size") > 0, of("size") * of("passes") + F.when(of("picks") > 0, part).otherwise(0)).otherwise(0).cast("long")
     return rows.withColumn(p + "taken", taken)
 
 
@@ -156,24 +168,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
-def picked(j: Column, blocks: Column, turn: Column, picks: Column) -> Column:
-    """Whether block ``j`` of a stream is one of its ``picks``: whether a swap-or-not shuffle puts it among the first.
-
-    Every round pairs the places of all blocks, x with its mirror image about a key, and swaps a pair or not by a hash of
-    the larger one; so it is a permutation for any number of blocks.
-    """
-
-    def swap(x: Column, r: Column) -> Column:
-        key = (turn + r * 40_014) % PRIME
-        key = key * key % PRIME * STEP % PRIME
-        other = (key % blocks + blocks - x) % blocks
-        h = (F.greatest(x, other) + key) % PRIME
-        return F.when(h * h % PRIME * MIX % PRIME >= 1 << 30, other).otherwise(x)
-
-    rounds = F.array(*(F.lit(r).cast("long") for r in range(1, ROUNDS + 1)))
-    return F.when(picks >= blocks, True).otherwise(F.aggregate(rounds, j.cast("long"), swap) < picks)
-
-
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it has whole passes, and once more with
     the words of its picked blocks (joined by single spaces) if they are not all or none.
@@ -190,9 +184,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
     shards, plan = _planned(thin, weights, repeats, block, seed)
     rows = _joined(_dealt(docs, shards, p), plan, block, p).where(of("taken") > 0)
     some = of("taken") - of("passes") * of("size")
-    first = F.floor(of("first_word") / block)
-    hit = lambda k: F.get(of("flags"), (F.floor((of("first_word") + k) / block) - first).cast("int"))
-    words = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w, k: hit(k)), " ")
+    # a flag for every word, beside the words: within a lambda function, either would be made anew for each of them
+    first, end = of("first_word"), of("first_word") + of("size")
+    here = lambda j: (F.least(end, (j + 1) * block) - F.greatest(first, j * block)).cast("int")
+    flags = F.flatten(F.transform(F.sequence(F.floor(first / block), F.floor((end - 1) / block)), lambda j: F.array_repeat(order_of(j, of("turn")) <= of("last"), here(j))))
+    words = F.array_join(F.zip_with(F.regexp_extract_all(text, F.lit(f"({WORD})")), flags, lambda w, hit: F.when(hit, w)), " ")
     extra = F.when(some == of("size"), F.array(text)).when(some > 0, F.array(words)).otherwise(F.array().cast("array<string>"))
     out = rows.withColumn(p + "copy", F.explode(F.concat(F.array_repeat(text, of("passes").cast("int")), extra)))
     cols = [of("copy").alias(c) if c == "text" else F.length(of("copy")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
@@ -221,10 +217,9 @@ def op2_sql() -> str:
 {name}_f as (select {order}, count(*) won from {name}_e where place <= a_open group by {order}),
 {name} as (select a.*, (a.sure + coalesce(b.won, 0))::bigint quota from {name}_c a left join {name}_f b on {same})"""
 
-    key = f"(((turn + r * 40014) % {PRIME}) * ((turn + r * 40014) % {PRIME}) % {PRIME} * {STEP} % {PRIME})"
-    other = f"(({key} % blocks + blocks - x) % blocks)"
-    h = f"((greatest(x, {other}) + {key}) % {PRIME})"
-    swap = f"lambda x, r: case when {h} * {h} % {PRIME} * {MIX} % {PRIME} >= {1 << 30} then {other} else x end"
+    first = lambda j: f"(({j} * {STEP} + turn) % {PRIME})"
+    second = lambda j: f"(({first(j)} * {first(j)} % {PRIME} * {MIX} + {j} + turn) % {PRIME})"
+    order_sql = lambda j: f"({second(j)} * {second(j)} % {PRIME} * {STEP} % {PRIME} * {1 << 31} + {j})"
     return f"""
 with thin as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size, coalesce(md5(text), '') digest from documents),
 dealt as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || digest), 1, 8))::bigint % (select greatest(ceil(count(*) / {SHARD_ROWS}.0), 1)::bigint from thin) shard from thin),
@@ -243,9 +238,12 @@ quotas as (select rank, quota seats from q),
 {apportion_sql('s', 'claims', 'quotas', 'rank', 'words', 'rank, shard')},
 plan as (select s.rank, s.shard, ceil(words / {BLOCK}.0)::bigint blocks, least(s.quota, ceil(words / {BLOCK}.0)::bigint * {REPEATS}) quota from s),
 turns as (select *, case when blocks > 0 then quota // blocks else 0 end passes, ({SEED} * 7919 + rank * 104729 + shard * 1299709) % {PRIME} turn from plan),
+picks as (select *, quota - passes * blocks picks from turns),
+orders as (select rank, shard, picks, {order_sql('j')} o from (select *, unnest(range(0, blocks)) j from picks where picks > 0 and picks < blocks)),
+lasts as (select rank, shard, o last from (select *, row_number() over (partition by rank, shard order by o) n from orders) where n = picks),
 placed as (select *, coalesce(sum(size) over (partition by source, shard order by doc_id nulls first, digest rows between unbounded preceding and 1 preceding), 0)::bigint first_word from dealt),
-joined as (select p.*, src.source_size, src.target, t.passes, t.quota - t.passes * t.blocks picks, greatest(t.blocks, 1) blocks, t.turn
-  from placed p join sources src on p.source is not distinct from src.source join turns t on t.rank = src.rank and t.shard = p.shard)
+joined as (select p.*, src.source_size, src.target, t.passes, t.turn, coalesce(l.last, case when t.picks > 0 then 9223372036854775807 else -1 end) last
+  from placed p join sources src on p.source is not distinct from src.source join picks t on t.rank = src.rank and t.shard = p.shard left join lasts l on l.rank = t.rank and l.shard = t.shard)
 select doc_id, size, source_size, target, case when size > 0 then size * passes + list_sum(list_transform(range(first_word // {BLOCK}, (first_word + size - 1) // {BLOCK} + 1),
-  lambda j: case when list_reduce(range(1, {ROUNDS + 1}), {swap}, j) < picks then least(first_word + size, (j + 1) * {BLOCK}) - greatest(first_word, j * {BLOCK}) else 0 end)) else 0 end::bigint taken, source
+  lambda j: case when {order_sql('j')} <= last then least(first_word + size, (j + 1) * {BLOCK}) - greatest(first_word, j * {BLOCK}) else 0 end)) else 0 end::bigint taken, source
 from joined"""

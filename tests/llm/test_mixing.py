@@ -93,15 +93,17 @@ def test_rows_that_share_an_id_keep_plans_of_their_own(spark):
 
 def test_picks_are_seeded_and_exact(spark):
     df = spark.range(1000).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 7, 11, 462, 693, 1000))))).where("id < k")
-    for turn in (5, 6):
-        hit = df.withColumn("hit", mixing.picked(F.col("id"), F.col("k"), F.lit(turn), F.ceil(F.col("k") / 3)))
-        rows = hit.collect()
+    turns = [[x.o for x in df.select(mixing.order_of(F.col("id"), F.lit(t)).alias("o")).collect()] for t in (5, 6)]
+    keys = [(x.id, x.k) for x in df.collect()]
+    for order in turns:
         for k in (1, 2, 3, 7, 11, 462, 693, 1000):
-            took = [x.id for x in rows if x.k == k and x.hit]
-            assert len(took) == -(-k // 3)
+            own = {o: j for (j, n), o in zip(keys, order, strict=True) if n == k}
+            assert len(own) == k
+            took = sorted(own[o] for o in sorted(own)[: -(-k // 3)])
             if k > 400:  # neither a run nor even steps
                 assert 0.6 < sum(b - a > 1 for a, b in zip(took, took[1:])) / len(took) < 0.74
                 assert 0.4 < sum(t < k / 2 for t in took) / len(took) < 0.6
+    assert turns[0] != turns[1]
 
 
 def test_sql_agrees(spark):
