@@ -40,7 +40,29 @@ def _gap_cost(h: np.ndarray, first: int, more: int) -> np.ndarray:
     return out
 
 
-def align_many(query: bytes, reads: list[bytes], scores: tuple[int, int, int, int] = SCORES, least: int = 1) -> list[tuple[int, int, int, int, int, int, int, str, str] | None]:
+Hit = tuple[int, int, int, int, int, int, int, str, str]
+
+
+def reach(query: bytes, scores: tuple[int, int, int, int] = SCORES) -> int:
+    """The most positions of a read that a local alignment with ``query`` spans: gaps cost more than matches give beyond."""
+    return len(query) + max(0, (len(query) * scores[0] + scores[3] - scores[2]) // -scores[3]) + 1
+
+
+def align_long(query: bytes, read: bytes, scores: tuple[int, int, int, int] = SCORES, least: int = 1) -> Hit | None:
+    """As ``align_many`` for one read of any length, in windows that overlap by all that an alignment can span."""
+    span = reach(query, scores)
+    width = max(2 * span, CELLS // (2 * (len(query) + 1)))
+    best, order = None, None
+    for a in range(0, max(1, len(read) - span), width - span):
+        (hit,) = align_many(query, [read[a : a + width]], scores, least)
+        if hit:
+            score, qs, qe, ss, se, *rest = hit
+            if order is None or (-score, qe, se + a) < order:
+                best, order = (score, qs, qe, ss + a, se + a, *rest), (-score, qe, se + a)
+    return best
+
+
+def align_many(query: bytes, reads: list[bytes], scores: tuple[int, int, int, int] = SCORES, least: int = 1) -> list[Hit | None]:
     """Best local alignment of ``query`` with each read: score, qstart, qend, sstart, send, mismatches, gaps, and both rows.
 
     Positions are from 1. Of equal scores, the one that ends first on the query, then on the read, is taken. Scores below
@@ -112,6 +134,7 @@ def align_reads(reads: DataFrame, references: list[tuple[str, str]], seed: int =
     """The best hit of each reference (id, sequence) with each row of ``reads`` (id, seq), on either strand; see HITS.
 
     With ``seed`` a pair needs a common word of that length. Null and empty sequences have no hits; nothing is shuffled.
+    A read that is too long for the cells is aligned in windows, so memory is bounded whatever its length.
     """
     known = [(name, seq.upper().encode()) for name, seq in references]
 
@@ -133,7 +156,9 @@ def align_reads(reads: DataFrame, references: list[tuple[str, str]], seed: int =
                 for name, query in known:
                     some = _seeded(query, [s for _, _, s in both], seed) if seed else range(len(both))
                     found: dict[int, tuple] = {}
-                    for i, hit in zip(some, align_many(query, [both[i][2] for i in some], scores, min_score), strict=True):
+                    wide = len(run_of) == 1 and (len(seqs[run_of[0]]) + 1) * (longest + 1) * 2 > CELLS
+                    hits = [align_long(query, both[i][2], scores, min_score) for i in some] if wide else align_many(query, [both[i][2] for i in some], scores, min_score)
+                    for i, hit in zip(some, hits, strict=True):
                         k, strand, _ = both[i]
                         if hit and (k not in found or hit[0] > found[k][1][0]):
                             found[k] = (strand, hit)

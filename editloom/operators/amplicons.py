@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +19,41 @@ def split_primers(primers: DataFrame) -> DataFrame:
     return primers.where(F.col("primer_id").rlike("_[FR]$")).select("primer_id", F.regexp_replace("primer_id", "_[FR]$", "").alias("gene"), side.alias("side"), "seq")
 
 
-def exact_sites(primers: DataFrame, genome: DataFrame) -> DataFrame:
+def exact_sites(primers: DataFrame, genome: DataFrame, most: int = 200_000) -> DataFrame:
     """gene, side, chrom, start, end, strand: where a primer matches in full on either strand.
 
-    One site per primer and chromosome, the lowest. Primers are few and chromosomes long, so all primers are looked up
-    in a chromosome as it is scanned.
+    One site per primer and chromosome, the lowest. Primers are configured, at most ``most`` of them: they travel with the
+    function as one automaton, so a chromosome is scanned once for all of them.
     """
-    want = primers.select("gene", "side", F.upper("seq").alias("_plus"), reverse_complement(F.upper("seq")).alias("_minus"))
-    chromosomes = genome.select(F.col("id").alias("chrom"), F.upper("seq").alias("_chrom"))
-    met = chromosomes.join(want, F.contains("_chrom", "_plus") | F.contains("_chrom", "_minus"))
-    plus, minus = F.expr("locate(_plus, _chrom)"), F.expr("locate(_minus, _chrom)")
-    on_plus = (plus > 0) & ((minus == 0) | (plus <= minus))
-    at = F.when(on_plus, plus).otherwise(minus)
-    return met.select("gene", "side", "chrom", at.alias("start"), (at + F.length("_plus") - 1).alias("end"), F.when(on_plus, "+").otherwise("-").alias("strand"))
+    want = primers.select("gene", "side", F.upper("seq").alias("plus"), reverse_complement(F.upper("seq")).alias("minus")).where("plus <> ''").limit(most + 1).collect()
+    if len(want) > most:
+        raise ValueError(f"more than {most} primers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        words: dict[str, list[tuple[int, str]]] = {}
+        for k, x in enumerate(want):
+            words.setdefault(x.plus, []).append((k, "+"))
+            words.setdefault(x.minus, []).append((k, "-"))
+        machine = ahocorasick.Automaton()
+        for w, of in words.items():
+            machine.add_word(w, (len(w), of))
+        machine.make_automaton()
+        for x in batches:
+            out = []
+            for name, seq in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                first: dict[int, tuple[int, str]] = {}
+                for end, (size, of) in machine.iter((seq.as_py() or "").upper()) if words else ():
+                    for k, strand in of:
+                        first[k] = min(first.get(k, (end - size + 2, strand)), (end - size + 2, strand))
+                out += [(want[k].gene, want[k].side, name, at, at + len(want[k].plus) - 1, strand) for k, (at, strand) in first.items()]
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["gene", "side", "chrom", "start", "end", "strand"])
+
+    rows = genome.select(F.col("id").cast("string").alias("id"), F.col("seq").cast("string").alias("seq"))
+    return rows.mapInArrow(run, "gene string, side string, chrom string, start int, end int, strand string")
 
 
 def perfect_hits(hits: DataFrame, primers: DataFrame) -> DataFrame:
@@ -37,6 +62,16 @@ def perfect_hits(hits: DataFrame, primers: DataFrame) -> DataFrame:
     return hits.join(lengths, "qseqid").where("length = _width and pident >= 100").select(*hits.columns)
 
 
+def sites_of_hits(hits: DataFrame, primers: DataFrame) -> DataFrame:
+    """gene, side, chrom, start, end, strand from the hits of a search tool that are perfect; the lowest one a chromosome.
+
+    A hit on the reverse strand has its start behind its end.
+    """
+    sided = perfect_hits(hits, primers).join(split_primers(primers).select(F.col("primer_id").alias("qseqid"), "gene", "side"), "qseqid")
+    at = F.struct(F.least("sstart", "send").alias("start"), F.greatest("sstart", "send").alias("end"), F.when(F.col("sstart") <= F.col("send"), "+").otherwise("-").alias("strand"))
+    return sided.groupBy("gene", "side", F.col("sseqid").alias("chrom")).agg(F.min(at).alias("at")).select("gene", "side", "chrom", "at.*")
+
+
 def pair_sites(forward: DataFrame, reverse: DataFrame, how: str = "inner") -> DataFrame:
     """(gene, chrom, start, end) spanned by both sites. ``how="full"`` keeps unpaired sites, with null bounds."""
     f = forward.select("gene", "chrom", F.col("start").alias("start_f"), F.col("end").alias("end_f"))
@@ -52,9 +87,9 @@ def cut_out(intervals: DataFrame, genome: DataFrame) -> DataFrame:
     return intervals.join(source, "chrom").select(*intervals.columns, slice_of(F.col("_chrom"), F.col("start"), F.col("end")).alias("seq"))
 
 
-def amplicons(primers: DataFrame, genome: DataFrame) -> DataFrame:
-    """gene, chrom, start, end, seq of every amplicon; one per gene and chromosome."""
-    sites = exact_sites(split_primers(primers), genome)
+def amplicons(primers: DataFrame, genome: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """gene, chrom, start, end, seq of every amplicon; one per gene and chromosome. Sites come from ``hits`` if given."""
+    sites = exact_sites(split_primers(primers), genome) if hits is None else sites_of_hits(hits, primers)
     return cut_out(pair_sites(sites.where("side = 'F'"), sites.where("side = 'R'")), genome)
 
 

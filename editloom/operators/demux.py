@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HIT = ("qseqid", "sseqid", "qstart", "qend", "qlen", "sstart", "slen", "mismatch", "gapopen")
-
 
 def best_hits(hits: DataFrame) -> DataFrame:
     """One hit per (query, read): the longest, then with fewest mismatches and gaps, then the first."""
@@ -20,9 +18,10 @@ def with_position(hits: DataFrame) -> DataFrame:
 
 
 def opposite_pairs(forward: DataFrame, reverse: DataFrame) -> DataFrame:
-    """Pairs of a forward and a reverse hit at opposite ends of the same read, columns with _f and _r."""
-    f = with_position(forward).select("sseqid", *(F.col(c).alias(f"{c}_f") for c in (*(x for x in HIT if x != "sseqid"), "posdiff", "barpos")))
-    r = with_position(reverse).select(F.col("sseqid").alias("_read"), *(F.col(c).alias(f"{c}_r") for c in (*(x for x in HIT if x != "sseqid"), "posdiff", "barpos")))
+    """Pairs of a forward and a reverse hit at opposite ends of the same read; all columns of both, with _f and _r."""
+    side = lambda hits, s: (F.col(c).alias(f"{c}_{s}") for c in hits.columns if c != "sseqid")
+    f, r = with_position(forward), with_position(reverse)
+    f, r = f.select("sseqid", *side(f, "f")), r.select(F.col("sseqid").alias("_read"), *side(r, "r"))
     return f.join(r, (F.col("sseqid") == F.col("_read")) & (F.col("barpos_f") != F.col("barpos_r"))).drop("_read")
 
 

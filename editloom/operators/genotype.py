@@ -42,10 +42,10 @@ def top_alleles(counts: DataFrame, fraction: float = ALLELE_FRACTION) -> DataFra
 
 
 def against_intact(counts: DataFrame) -> DataFrame:
-    """intact_count of the group (0 if there is none), and each other pattern's share of it."""
+    """intact_count of the group (0 if there is none), and each other pattern's share of its own and the intact reads."""
     reads = F.coalesce(F.max(F.when(F.col("intact"), F.col("count"))).over(Window.partitionBy(*GROUP)), F.lit(0))
     out = counts.withColumn("intact_count", reads.cast("long"))
-    ratio = F.when(~F.col("intact") & (F.col("intact_count") > 0), F.col("count") / F.col("intact_count"))
+    ratio = F.when(~F.col("intact"), F.col("count") / (F.col("count") + F.col("intact_count")))
     return out.select(*counts.columns, ratio.alias("vs_intact_ratio"), "intact_count")
 
 

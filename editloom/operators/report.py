@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions.sequences import percent
@@ -78,8 +78,43 @@ def reads_per_gene(aligned: DataFrame, called: DataFrame, non_indexed_rows: Data
     return joined.select("gene", "aligned", "aligned_pct", "editcalled", share("editcalled").alias("editcalled_pct"), "non_indexed", share("non_indexed").alias("non_indexed_pct"))
 
 
-def as_matrix(table: DataFrame, key: str, values: list[str], keys: list[str]) -> DataFrame:
-    """Measures as rows, in order, and ``keys`` as columns."""
-    long = table.select(key, *(F.col(v).cast("string") for v in values)).unpivot(key, values, "measure", "value")
-    at = F.array_position(F.array(*map(F.lit, values)), F.col("measure")).cast("int")
-    return long.withColumn("ordinal", at).groupBy("ordinal", "measure").pivot(key, keys).agg(F.first("value"))
+#: The rows of the reports per index and per gene, with the columns that they show.
+INDEX_ROWS = {
+    "f": (("Indexed reads per forward index", "n"), ("Proportion of indexed reads per forward index", "pct")),
+    "r": (("Indexed reads per reverse index", "n"), ("Proportion of indexed reads per reverse index", "pct")),
+}
+GENE_ROWS = (
+    ("Aligned reads per gene", "aligned"), ("Proportion of aligned reads per gene", "aligned_pct"), ("Editcalled reads per gene", "editcalled"),
+    ("Proportion of editcalled reads per gene", "editcalled_pct"), ("Non-indexed reads per gene", "non_indexed"), ("Proportion of non-indexed reads per gene", "non_indexed_pct"),
+)
+
+
+def _plain(column: str, kind: str) -> Column:
+    """A value as text; whole numbers without a point."""
+    if kind in ("double", "float"):
+        return F.regexp_replace(F.round(column, 10).cast("string"), r"\.0$", "")
+    return F.col(column).cast("string")
+
+
+def labelled_rows(blocks: list[tuple[DataFrame, str, tuple[tuple[str, str], ...]]]) -> DataFrame:
+    """ordinal, label, c1, c2, ...: a report as it is printed. Each block (table, key, (label, column), ...) gives a row
+    of its keys in order, without a label, and a row for every column. Keys are configured ones, so few.
+    """
+    out, at, most = None, 0, 0
+    for table, key, rows in blocks:
+        kinds = dict(table.dtypes)
+        cells = [F.struct(F.lit(at).alias("ordinal"), F.lit("").alias("label"), F.col(key).cast("string").alias("value"))]
+        cells += [F.struct(F.lit(at + k).alias("ordinal"), F.lit(label).alias("label"), _plain(c, kinds[c]).alias("value")) for k, (label, c) in enumerate(rows, 1)]
+        placed = table.withColumn("_p", F.row_number().over(Window.orderBy(key)))
+        long = placed.select("_p", F.explode(F.array(*cells)).alias("x")).select("_p", "x.*")
+        out, at, most = long if out is None else out.unionByName(long), at + len(cells), max(most, table.count())
+    wide = out.groupBy("ordinal", "label").pivot("_p", list(range(1, most + 1))).agg(F.first("value"))
+    return wide.select("ordinal", "label", *(F.col(str(k)).alias(f"c{k}") for k in range(1, most + 1)))
+
+
+def index_report(per_index: DataFrame) -> DataFrame:
+    return labelled_rows([(per_index.where(F.col("side") == side), "key", rows) for side, rows in INDEX_ROWS.items()])
+
+
+def gene_report(per_gene: DataFrame) -> DataFrame:
+    return labelled_rows([(per_gene, "gene", GENE_ROWS)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.functions.sequences import gap_window, slice_of, ungapped
+from editloom.functions.sequences import gap_window, slice_of
 
 #: Bases on either side of the expected site.
 CHECK_WINDOW = 10
@@ -47,6 +47,7 @@ def window_patterns(hits: DataFrame, windows: DataFrame, from_hit_start: bool =
     """target_gene, read_name, read_seq, ref_seq, full_read_seq, aln_start, aln_end of every covering hit.
 
     The alignment begins at base ``qstart`` of the amplicon; with ``from_hit_start`` the window is counted from there.
+    full_read_seq is the aligned read with its gaps, aln_start and aln_end are where the hit lies on the read.
     """
     over = covering(hits, windows, to_end)
     spans = [r[0] for r in windows.select(F.col("end") - F.col("start")).distinct().limit(2).collect()]
@@ -56,11 +57,11 @@ def window_patterns(hits: DataFrame, windows: DataFrame, from_hit_start: bool =
     cut = over.withColumn("_w", gap_window(F.col("qseq"), F.col("sseq"), start, spans[0] if spans else 2 * CHECK_WINDOW))
     return cut.select(
         F.col("qseqid").alias("target_gene"), F.col("sseqid").alias("read_name"), F.col("_w.read_seq").alias("read_seq"), F.col("_w.ref_seq").alias("ref_seq"),
-        ungapped(F.col("sseq")).alias("full_read_seq"), F.col("w_start").alias("aln_start"), F.col("w_end").alias("aln_end"),
+        F.col("sseq").alias("full_read_seq"), F.col("sstart").alias("aln_start"), F.col("send").alias("aln_end"),
     )
 
 
 def with_samples(aligned: DataFrame, demultiplexed: DataFrame) -> DataFrame:
-    """Aligned reads with each sample that they belong to; null for reads without one."""
-    samples = demultiplexed.select(F.col("sseqid").alias("_read"), "index_pair_id").distinct()
+    """Aligned reads with the indexes and the sample of each pair that they belong to; null for reads without one."""
+    samples = demultiplexed.select(F.col("sseqid").alias("_read"), F.col("qseqid_f").alias("i7_index"), F.col("qseqid_r").alias("i5_index"), "index_pair_id").distinct()
     return aligned.join(samples, F.col("read_name") == F.col("_read"), "left").drop("_read")

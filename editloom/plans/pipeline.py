@@ -41,10 +41,15 @@ class Options:
     index_min_score: int = 24
     amplicon_min_score: int = 40
     amplicon_seed: int = 11
+    summary_header_counts: bool = False
 
 
 @dataclass(frozen=True)
 class Inputs:
+    """Paths. Hits of a search tool take the place of the built-in search where they are given: of primers in the short
+    layout, of indexes and amplicons in the long one. With ``summary``, raw reads are counted by its lines.
+    """
+
     reads: str
     primers: str
     sites: str
@@ -52,6 +57,10 @@ class Inputs:
     genome: str
     reads_format: str = "fasta"
     summary: str = ""
+    primer_hits: str = ""
+    index_hits_f: str = ""
+    index_hits_r: str = ""
+    amplicon_hits: str = ""
 
 
 class Stages:
@@ -107,27 +116,35 @@ def call_edits(spark: SparkSession, inputs: Inputs, folder: str, options: Option
     pick = lambda *names: {n: all_options[n] for n in names}
 
     def targets() -> dict[str, DataFrame]:
-        found = amplicons.checked(amplicons.amplicons(primers, genome))
+        given = tables.read_hits(spark, inputs.primer_hits, "short") if inputs.primer_hits else None
+        found = amplicons.checked(amplicons.amplicons(primers, genome, given))
         return {"amplicons": found, "windows": windows.target_windows(sites, found, genome, o.check_window)}
 
-    known = stages.run("targets", pick("primers", "genome", "sites", "check_window"), targets, ("amplicons", "windows"))
+    known = stages.run("targets", pick("primers", "genome", "sites", "check_window", "primer_hits"), targets, ("amplicons", "windows"))
     base = stages.run("reads", pick("reads", "reads_format", "size_low", "size_high", "drop_parents", "min_qscore"), lambda: {"reads": kept}, ("reads",))["reads"]
 
     def demultiplexing() -> dict[str, DataFrame]:
-        side = lambda s: align.align_reads(base, _few(demux.first_indexes(index_list, s), "indexes"), 4, o.index_min_score).drop("score")
-        done, rest = demux.demultiplex(side("f"), side("r"), index_list)
+        def side(s: str, given: str) -> DataFrame:
+            if given:
+                return tables.read_hits(spark, given)
+            return align.align_reads(base, _few(demux.first_indexes(index_list, s), "indexes"), 4, o.index_min_score).drop("score")
+
+        done, rest = demux.demultiplex(side("f", inputs.index_hits_f), side("r", inputs.index_hits_r), index_list)
         return {"demultiplexed": done, "undemultiplexed": rest}
 
-    split = stages.run("demultiplex", pick("index_list", "index_min_score"), demultiplexing, ("demultiplexed", "undemultiplexed"))
+    split = stages.run("demultiplex", pick("index_list", "index_min_score", "index_hits_f", "index_hits_r"), demultiplexing, ("demultiplexed", "undemultiplexed"))
 
     def alignment() -> dict[str, DataFrame]:
         references = known["amplicons"].select(F.col("gene").alias("id"), "seq")
-        hits = align.align_reads(base, _few(references, "amplicons"), o.amplicon_seed, o.amplicon_min_score)
+        if inputs.amplicon_hits:
+            hits = tables.read_hits(spark, inputs.amplicon_hits)
+        else:
+            hits = align.align_reads(base, _few(references, "amplicons"), o.amplicon_seed, o.amplicon_min_score)
         first = windows.one_amplicon_per_read(hits, "qseqid", o.best_amplicon)
         patterns = windows.window_patterns(first, known["windows"], o.window_from_hit_start, o.window_to_end)
         return {"aligned": genotype.is_intact(patterns, known["windows"], any_gene=True)}
 
-    aligned = stages.run("align", pick("best_amplicon", "window_from_hit_start", "window_to_end", "amplicon_min_score", "amplicon_seed"), alignment, ("aligned",))["aligned"]
+    aligned = stages.run("align", pick("best_amplicon", "window_from_hit_start", "window_to_end", "amplicon_min_score", "amplicon_seed", "amplicon_hits"), alignment, ("aligned",))["aligned"]
 
     def calling() -> dict[str, DataFrame]:
         sampled = windows.with_samples(aligned.drop("intact"), split["demultiplexed"])
@@ -136,17 +153,28 @@ def call_edits(spark: SparkSession, inputs: Inputs, folder: str, options: Option
 
     made = stages.run("editcall", pick("min_count", "allele_fraction", "true_indel_labels"), calling, ("patterns", "called", "calls"))
     late = report.non_indexed(aligned, split["undemultiplexed"], o.qstart_max)
+    counted = tables.read_lines(spark, inputs.summary, o.summary_header_counts) if inputs.summary else raw
+    per_index, per_gene = report.reads_per_index(split["demultiplexed"]), report.reads_per_gene(aligned, made["called"], late)
     return known | {"raw": raw, "reads": base, "aligned": aligned} | split | made | {
         "summary": genotype.genotype_matrix(made["calls"], [g for g, _ in _few(known["windows"].select(F.col("gene").alias("id"), "seq").orderBy("id"), "genes")]),
-        "read_stats": report.read_stats(raw, base, split["demultiplexed"], split["undemultiplexed"], aligned, made["called"], o.qstart_max),
-        "reads_per_index": report.reads_per_index(split["demultiplexed"]),
-        "reads_per_gene": report.reads_per_gene(aligned, made["called"], late),
+        "read_stats": report.read_stats(counted, base, split["demultiplexed"], split["undemultiplexed"], aligned, made["called"], o.qstart_max),
+        "reads_per_index": per_index,
+        "reads_per_gene": per_gene,
+        "index_report": report.index_report(per_index),
+        "gene_report": report.gene_report(per_gene),
         "non_indexed": late,
     }
 
 
 def write_outputs(results: dict[str, DataFrame], folder: str, output_reads: bool = False) -> None:
-    """The tables as files: lists with headers, intact windows as FASTA, reports as quoted tables."""
+    """The tables as files: lists with headers, in the order of their keys; intact windows as FASTA; reports as they are
+    printed, as quoted tables.
+    """
+    order = {
+        "demultiplexed": ("class", "sseqid", "qseqid_f", "qseqid_r"), "undemultiplexed": ("sseqid",), "aligned": ("target_gene", "read_name"),
+        "patterns": ("index_pair_id", "target_gene", F.desc("count"), "read_seq"), "called": ("index_pair_id", "target_gene", F.desc("count"), "read_seq"), "summary": ("index_pair_id", "data_type"),
+    }
+    results = results | {name: results[name].orderBy(*by) for name, by in order.items()}
     for name, place in (("demultiplexed", "demultiplex/demultiplex_list.csv"), ("undemultiplexed", "demultiplex/undemultiplex_list.csv")):
         sinks.write_csv(results[name], f"{folder}/{place}", rename=sinks.side_names(results[name].columns))
     sinks.write_csv(results["aligned"], f"{folder}/align/alignment_list.csv")
@@ -154,8 +182,8 @@ def write_outputs(results: dict[str, DataFrame], folder: str, output_reads: bool
     for name, file in (("patterns", "editcall_all"), ("called", "editcall_filtered"), ("summary", "editcall_summary")):
         sinks.write_csv(results[name], f"{folder}/editcall/{file}.csv", one_file=name == "summary")
     sinks.write_fasta(results["reads"], f"{folder}/basecall/reads", per_file=sinks.CHUNK)
-    for name, order in (("read_stats", ["ordinal"]), ("reads_per_index", ["side", "key"]), ("reads_per_gene", ["gene"])):
-        sinks.write_tsv(results[name].orderBy(*order), f"{folder}/summary/{name}.tsv")
+    for name, file in (("read_stats", "read_stats"), ("index_report", "indexed_reads_per_gene"), ("gene_report", "aligned_reads_per_gene")):
+        sinks.write_tsv(results[name].orderBy("ordinal").drop("ordinal"), f"{folder}/summary/{file}.tsv")
     if output_reads:
         names = results["non_indexed"].select(F.col("read_name").alias("id")).distinct()
         sinks.write_fasta(results["reads"].join(names, "id", "left_semi"), f"{folder}/non_indexed_aligned_read_seq.fa")

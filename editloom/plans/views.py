@@ -51,6 +51,13 @@ def hits(side: str) -> str:
     return f"select qseqid, sseqid, qstart, qend, qlen, sstart, slen, mismatch, gapopen from ({BEST.format(raw_hits(side))}) h"
 
 
+def long_hits(side: str) -> str:
+    """The best hits in the long layout, with rows of the alignment."""
+    span = "qend - qstart + 1"
+    return f"""select qseqid, sseqid, qstart, qend, qlen, sstart, cast(sstart + qend - qstart as int) send, slen, mismatch, gapopen, substr({bases(text('sseqid'))}, 3, {span}) sseq,
+ substr({bases('qseqid')}, qstart, {span}) qseq from ({hits(side)}) h"""
+
+
 _GENE = "concat('G', cast(l_suppkey % 8 as varchar(2)))"
 WINDOWS = f"select distinct {_GENE} gene, substr({bases(_GENE)}, 1, 21) seq from {{lineitem}}"
 _EDITED = """case when v < t then seq when v < 18 then (case (case when v < 14 then k else (k + 1) % 4 end)
@@ -73,6 +80,19 @@ GENE_HITS = f"""select {_GENE} qseqid, l_orderkey sseqid, cast(1 + l_partkey % 6
  cast(l_suppkey % 3 as int) mismatch, 0 gapopen from {{lineitem}}"""
 TARGETS = "select gene, seq, 40 \"start\", 60 \"end\" from (" + WINDOWS + ") w"
 
+def _amplicon_hits(key: str, letters: str) -> str:
+    q, s = (_gapped(x) for x in letters)
+    return f"""select concat('G', cast({key} % 8 as varchar(2))) qseqid, o_orderkey sseqid, cast(1 + {key} % 50 as int) qstart, cast(50 + {key} % 70 as int) qend,
+ cast(10 + {key} % 9 as int) sstart, cast(100 + {key} % 11 as int) send, {q} qseq, {s} sseq, cast({key} % 8 as int) ordinal, 0 mismatch, 0 gapopen from {{orders}}"""
+
+
+#: Hits of amplicons with their alignments; every third read has two.
+AMPLICON_HITS = _amplicon_hits("o_custkey", "qs") + " union all " + _amplicon_hits("(o_custkey + 3)", "uv") + " where o_custkey % 3 = 0"
+#: Hits of primers in the short layout, on both strands, some of them cut short or with a mismatch.
+PRIMER_HITS = f"""select primer_id qseqid, concat('chr', cast(p_partkey % 50 as varchar(4))) sseqid, 1 qstart, cast(20 - p_size % 2 as int) qend, cast(case when p_size < 25 then p_partkey else p_partkey + 19 end as int) sstart,
+ cast(case when p_size < 25 then p_partkey + 19 else p_partkey end as int) send, cast(20 - p_size % 2 as int) length, cast(case when p_partkey % 3 = 0 then 95 else 100 end as double) pident
+ from {{part}} join ({PRIMERS}) p on primer_id in (concat('G', cast(p_partkey % 25 as varchar(4)), '_F'), concat('G', cast(p_partkey % 25 as varchar(4)), '_R'))"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 

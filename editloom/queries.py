@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,7 @@ _CALLED = f"""intact as ({v.WINDOWS}), aligned as ({v.ALIGNED}),
 counts as (select index_pair_id, target_gene, read_seq, count(*) as "count", bool_or(read_seq = w.seq) intact from aligned join intact w on w.gene = target_gene group by index_pair_id, target_gene, read_seq),
 tops as (select *, max("count") over (partition by index_pair_id, target_gene) top from counts where "count" >= 5),
 ratio as (select * exclude (top), coalesce(max(case when intact then "count" end) over (partition by index_pair_id, target_gene), 0) intact_count from tops where "count" > top * 0.5),
-called as (select * exclude (intact_count), case when not intact and intact_count > 0 then "count" / intact_count end vs_intact_ratio, intact_count from ratio)"""
+called as (select * exclude (intact_count), case when not intact then "count" / ("count" + intact_count) end vs_intact_ratio, intact_count from ratio)"""
 _LABELS = f"""{_CALLED},
 kinds as (select c.*, w.seq win, case when intact then 'ref' when contains(read_seq, '-') and length(replace(read_seq, '-', '')) > length(w.seq) then 'indel' when contains(read_seq, '-') then 'del'
  when length(replace(read_seq, '-', '')) > length(w.seq) then 'ins' else 'sub' end kind from called c join intact w on w.gene = c.target_gene),
@@ -101,7 +102,7 @@ def amplicon_unpaired(t):
     return amplicons.pair_sites(f, r, "full").where("start is null").select("gene", "chrom")
 
 
-_SLICES = "select p_partkey id, cast(p_partkey % 200 as bigint) doc, cast(1 + p_size as int) \"start\", cast(1 + p_size + p_partkey % 40 as int) \"end\" from {part}"
+_SLICES = "select p_partkey id, cast(p_partkey % (select count(*) from {documents}) as bigint) doc, cast(1 + p_size as int) \"start\", cast(1 + p_size + p_partkey % 40 as int) \"end\" from {part}"
 
 
 @_query(f'select s.id, s.doc chrom, s."start", s."end", substr(d.text, s."start", s."end" - s."start" + 1) seq from ({_SLICES}) s join documents d on d.doc_id = s.doc')
@@ -120,16 +121,22 @@ def exact_locate(t):
     return d.select("id", F.expr("cast(locate(w, seq) as bigint)").alias("place"), F.expr("cast(locate(m, seq) as bigint)").alias("place_back"))
 
 
-@_query(f"""with d as ({v.DNA}), p as (select concat('G', id) gene, substr(seq, 5, 20) f, reverse(translate(substr(seq, 61, 20), 'ACGT', 'TGCA')) r, id from d where ordinal <= 20),
+@_query(f"""with d as ({v.DNA}), p as (select concat('G', id) gene, substr(seq, 5, 20) f, reverse(translate(substr(seq, 61, 20), 'ACGT', 'TGCA')) r, id from d),
 s as (select gene, d.id chrom, strpos(d.seq, f) fs, strpos(d.seq, reverse(translate(r, 'ACGT', 'TGCA'))) rs, d.seq from d join p on contains(d.seq, f) and contains(d.seq, reverse(translate(r, 'ACGT', 'TGCA'))))
 select gene, chrom, cast(least(fs, rs) as int) "start", cast(greatest(fs, rs) + 19 as int) "end", substr(seq, least(fs, rs), greatest(fs, rs) + 19 - least(fs, rs) + 1) seq from s""")
 def primer_amplicons(t):
     d = t(v.DNA)
-    few = d.where("ordinal <= 20")
-    ends = [few.select(F.concat(F.lit("G"), "id", F.lit(f"_{s}")).alias("primer_id"), x.alias("seq")) for s, x in (("F", F.substring("seq", 5, 20)), ("R", fn.reverse_complement(F.substring("seq", 61, 20))))]
+    ends = [d.select(F.concat(F.lit("G"), "id", F.lit(f"_{s}")).alias("primer_id"), x.alias("seq")) for s, x in (("F", F.substring("seq", 5, 20)), ("R", fn.reverse_complement(F.substring("seq", 61, 20))))]
     return amplicons.amplicons(ends[0].unionByName(ends[1]), d)
 
 
+@_query(f"""with h as (select h.*, regexp_replace(qseqid, '_[FR]$', '') gene, right(qseqid, 1) side from ({v.PRIMER_HITS}) h join ({v.PRIMERS}) p on qseqid = primer_id where h.length = length(p.seq) and pident >= 100),
+s as (select gene, side, sseqid chrom, least(sstart, send) "start", greatest(sstart, send) "end", case when sstart <= send then '+' else '-' end strand from h)
+select gene, side, chrom, z."start" "start", z."end" "end", z.strand strand from (select gene, side, chrom, min({{'start': "start", 'end': "end", 'strand': strand}}) z from s group by all) x""")
+def primer_hits(t):
+    return amplicons.sites_of_hits(t(v.PRIMER_HITS), t(v.PRIMERS))
+
+
 @_query(f"select id, reverse(translate(seq, 'ACGT', 'TGCA')) rc from ({v.DNA}) d")
 def revcomp(t):
     return t(v.DNA).select("id", fn.reverse_complement(F.col("seq")).alias("rc"))
@@ -168,7 +175,7 @@ def demux_classify(t):
     return demux.classify(_pairs(t))
 
 
-@_query(f"with {_PAIRS} select * from pairs where sseqid not in (select sseqid from pairs where {_COMPLETE})")
+@_query(f"with {_PAIRS}, seen as (select *, bool_or({_COMPLETE}) over (partition by sseqid) done from pairs) select * exclude done from seen where not done")
 def demux_rest_anti(t):
     return demux.without_complete(_pairs(t))
 
@@ -191,6 +198,24 @@ def sample_lookup(t):
     return demux.with_samples(demux.demultiplexed(demux.classify(_pairs(t))), t(v.INDEX_LIST))
 
 
+_ALL = "qseqid qstart qend qlen sstart send slen mismatch gapopen sseq qseq posdiff barpos".split()
+_EVERY = lambda s: ", ".join(f"{s}.{c} {c}_{s}" for c in _ALL)
+
+
+@_query(f"""with f as (select *, {_POS} from ({v.long_hits('F')}) h), r as (select *, {_POS} from ({v.long_hits('R')}) h),
+pairs as (select f.sseqid, {_EVERY('f')}, {_EVERY('r')} from f join r on f.sseqid = r.sseqid and f.barpos <> r.barpos),
+complete as (select *, 'complete_match' class from pairs where {_COMPLETE}), rest1 as (select * from pairs where sseqid not in (select distinct sseqid from complete)),
+alone as (select sseqid from rest1 group by sseqid having count(*) = 1), single as (select *, 'single_match' class from rest1 where sseqid in (select sseqid from alone)),
+rest2 as (select *, {_COST} cost from rest1 where sseqid not in (select sseqid from alone)), least as (select sseqid, min(cost) least from rest2 group by sseqid),
+best as (select sseqid, least from rest2 join least using (sseqid) where cost = least group by sseqid, least having count(*) = 1),
+partial as (select rest2.* exclude cost, 'partial_match' class from rest2 join best using (sseqid) where cost = least),
+done as (select * from complete union all select * from single union all select * from partial),
+lst as (select concat(f_id, '_', r_id) p, arg_min(pair_id, ordinal) pid from ({v.INDEX_LIST}) i group by 1)
+select done.*, concat(qseqid_f, '_', qseqid_r) index_pair, pid index_pair_id from done left join lst on p = concat(qseqid_f, '_', qseqid_r)""")
+def demultiplex_list(t):
+    return demux.demultiplex(t(v.long_hits("F")), t(v.long_hits("R")), t(v.INDEX_LIST))[0]
+
+
 # alignment windows
 
 
@@ -217,6 +242,17 @@ def gap_window(t):
     return t(v.ALIGNMENTS).select("id", fn.gap_window(F.col("q"), F.col("s"), F.col("st"), 20).alias("w")).select("id", "w.read_seq", "w.ref_seq")
 
 
+@_query(f"""with h as ({v.AMPLICON_HITS}), w as ({v.TARGETS}), one as (select * from (select *, row_number() over (partition by sseqid order by ordinal, qseqid) n from h) x where n = 1),
+a as (select one.*, w."start" - qstart + 1 st from one join w on w.gene = qseqid and qstart <= w."start" and qend >= w."start"),
+b as (select *, st + length(substr(qseq, 1, st - 1)) - length(replace(substr(qseq, 1, st - 1), '-', '')) ts from a),
+c as (select *, regexp_extract(substr(qseq, ts), '^(?:-*[^-]){{20}}.?', 0) m from b), d as (select *, case when length(m) > 0 then length(m) else length(substr(qseq, ts)) end n_cols from c)
+select qseqid target_gene, sseqid read_name, substr(sseq, ts, n_cols) read_seq, substr(qseq, ts, n_cols) ref_seq, substr(sseq, ts, n_cols) in (select seq from w) intact,
+ sseq full_read_seq, sstart aln_start, send aln_end from d""")
+def alignment_list(t):
+    first = windows.one_amplicon_per_read(t(v.AMPLICON_HITS))
+    return genotype.is_intact(windows.window_patterns(first, t(v.TARGETS)), t(v.TARGETS), any_gene=True)
+
+
 _LOCATED = f"select gene, concat(substr({v.bases('gene')}, 25, 7), seq, substr({v.bases('seq')}, 1, 20)) seq from ({v.WINDOWS}) w"
 
 
@@ -226,11 +262,11 @@ def window_locate(t):
 
 
 _CHROMS = f"select concat('chr', case when p_partkey < 10 then '0' else '' end, cast(p_partkey as varchar(12))) id, {v.bases(*(f'concat({chr(39)}d{n}-{chr(39)}, {v.text("p_partkey")})' for n in (1, 2, 3)))} seq from {{part}}"
-_POINTS = "select concat('G', cast(p_partkey as varchar(12))) gene, cast(p_partkey as int) chrom, cast(30 + p_partkey % 40 as int) pos from {part} where p_partkey <= 120"
+_POINTS = "select concat('G', cast(p_partkey as varchar(12))) gene, cast(p_partkey as int) chrom, cast(30 + p_partkey % 40 as int) pos from {part}"
 _CUTS = "select concat('G', cast(p_partkey as varchar(12))) gene, concat('chr', case when p_partkey < 10 then '0' else '' end, cast(p_partkey as varchar(12))) chrom, cast(5 + p_partkey % 11 as int) \"start\", 90 \"end\" from {part}"
 
 
-@_query(f'select p.gene, substr(c.seq, pos - 10, 21) seq, pos - 10 - a."start" + 1 "start", pos + 10 - a."start" + 1 "end" from ({_POINTS}) p join ({_CHROMS}) c on c.id = format(\'chr{{:02d}}\', p.chrom) join ({_CUTS}) a on a.gene = p.gene and a.chrom = c.id')
+@_query(f"""select p.gene, substr(c.seq, pos - 10, 21) seq, pos - 10 - a."start" + 1 "start", pos + 10 - a."start" + 1 "end" from ({_POINTS}) p join ({_CHROMS}) c on c.id = concat('chr', case when p.chrom < 10 then '0' else '' end, cast(p.chrom as varchar)) join ({_CUTS}) a on a.gene = p.gene and a.chrom = c.id""")
 def target_windows(t):
     return windows.target_windows(t(_POINTS), t(_CUTS), t(_CHROMS))
 
@@ -245,7 +281,7 @@ def intact_any_gene(t):
     return genotype.is_intact(t(v.ALIGNED), t(v.WINDOWS), any_gene=True)
 
 
-@_query(f"with {_SAMPLED}, a as ({v.ALIGNED}) select a.target_gene, a.read_name, a.read_seq, s.index_pair_id from a left join (select distinct sseqid, index_pair_id from sampled) s on s.sseqid = a.read_name")
+@_query(f"with {_SAMPLED}, a as ({v.ALIGNED}) select a.target_gene, a.read_name, a.read_seq, i7_index, i5_index, s.index_pair_id from a left join (select distinct sseqid, qseqid_f i7_index, qseqid_r i5_index, index_pair_id from sampled) s on s.sseqid = a.read_name")
 def align_fanout(t):
     done = demux.with_samples(demux.demultiplexed(demux.classify(_pairs(t))), t(v.INDEX_LIST))
     return windows.with_samples(t(v.ALIGNED).drop("index_pair_id"), done)
@@ -341,13 +377,14 @@ def non_indexed_reads(t):
     return report.non_indexed(t(v.ALIGNED), demux.undemultiplexed(demux.classify(_pairs(t))))
 
 
-_GENE_COUNTS = f"select target_gene as \"key\", count(*) n from ({v.ALIGNED}) a group by 1"
+_LABELS_OF = (("", "cast(\"key\" as varchar)"), ("Aligned reads per gene", "cast(n as varchar)"), ("Proportion of aligned reads per gene", f"regexp_replace(cast(round({_SIGNIF('p')} * 100, 10) as varchar), '\\.0$', '')"))
 
 
-@_query(f"with c as ({_GENE_COUNTS}), l as (select 1 ordinal, 'n' measure, \"key\" k, cast(n as varchar) val from c union all select 2, 'half', \"key\", cast(n // 2 as varchar) from c) select ordinal, measure, " + ", ".join(f"max(case when k = '{g}' then val end) {g}" for g in GENES) + " from l group by all")
+@_query(f"with c as (select target_gene \"key\", count(*) n, count(*) / sum(count(*)) over () p, row_number() over (order by target_gene) k from ({v.ALIGNED}) a group by 1), l as ("
+        + " union all ".join(f"select {k} ordinal, '{label}' label, k, {x} val from c" for k, (label, x) in enumerate(_LABELS_OF)) + ") select ordinal, label, " + ", ".join(f"max(case when k = {k} then val end) c{k}" for k in range(1, 9)) + " from l group by all")
 def report_matrix(t):
-    counted = t(v.ALIGNED).groupBy(F.col("target_gene").alias("key")).agg(F.count("*").alias("n")).withColumn("half", F.floor(F.col("n") / 2))
-    return report.as_matrix(counted, "key", ["n", "half"], GENES)
+    counted = report.counts_by(t(v.ALIGNED), "target_gene").withColumn("pct", fn.percent(F.col("proportion"), F.lit(1.0)))
+    return report.labelled_rows([(counted, "key", tuple((label, c) for (label, _), c in zip(report.GENE_ROWS, ("n", "pct"))))])
 
 
 @_query(f"select o_orderkey, {_SIGNIF('(o_totalprice / 7.0)')} x, {_SIGNIF('(o_totalprice / 100000.0)')} * 100 pct from {{orders}}")
@@ -374,17 +411,17 @@ def union_chunks(t):
     return t(v.hits("F")).unionByName(t(v.hits("R")))
 
 
-@_query(f"with d as ({v.DNA}), k as (select distinct id, substr(seq, i, 7) w from d, (select unnest(range(1, 91)) i) r where ordinal <= 200) select a.id left_id, b.id right_id, count(*) n_words from k a join k b on a.w = b.w group by all")
+@_query(f"with d as ({v.DNA}), k as (select distinct id, substr(seq, i, 11) w from d, (select unnest(range(1, 87)) i) r) select a.id left_id, b.id right_id, count(*) n_words from k a join k b on a.w = b.w group by all")
 def kmer_seed_join(t):
-    few = t(v.DNA).where("ordinal <= 200").select("id", "seq")
-    return align.shared_words(few, few, 7)
+    d = t(v.DNA).select("id", "seq")
+    return align.shared_words(d, d, 11)
 
 
 @_query()
 def local_align(t):
-    d = t(v.DNA).select("id", "seq")
-    known = [(r.id, r.seq[10:60]) for r in d.where("id in ('1', '2', '3')").orderBy("id").collect()]
-    return align.align_reads(d, known, seed=6, min_score=20)
+    """The references are a piece of a sequence for every nation; sequences are aligned with all of them."""
+    known = t(f"select id, substr(seq, 11, 50) seq from ({v.DNA}) d join {{nation}} on ordinal = n_nationkey + 1")
+    return align.align_reads(t(v.DNA).select("id", "seq"), [(r.id, r.seq) for r in known.orderBy("id").collect()], seed=8, min_score=20)
 
 
 @_query(f"select id, seq from ({v.DNA}) d")
@@ -392,6 +429,6 @@ def fasta_roundtrip(t):
     d = t(v.DNA).select("id", "seq")
     spark = d.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/editloom-fasta-{d.count()}"
+    path = f"{base}/editloom-fasta-{uuid.uuid4().hex}"
     sinks.write_fasta(d, path)
     return reads.read_fasta(spark, path).select("id", "seq")

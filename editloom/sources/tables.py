@@ -37,15 +37,10 @@ def read_hits(spark: SparkSession, path: str, layout: str = "long") -> DataFrame
 
 
 def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stage's CSV with a header."""
+    """A stage's CSV with a header, as ``write_csv`` leaves it."""
     return spark.read.csv(path, schema=schema, header=True)
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated summary with a header, all columns as text."""
-    return spark.read.csv(path, sep="\t", header=True)
-
-
-def count_lines(spark: SparkSession, path: str, header: bool = True) -> int:
-    """Lines of a summary that are not blank, less its header."""
-    return max(0, spark.read.text(path).where("trim(value) <> ''").count() - int(header))
+def read_lines(spark: SparkSession, path: str, with_header: bool = False) -> DataFrame:
+    """The records of a tab-separated summary, all columns as text; ``with_header`` its header is one of them."""
+    return spark.read.csv(path, sep="\t", quote="", header=not with_header).dropna(how="all")

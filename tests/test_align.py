@@ -2,7 +2,10 @@
 
 import random
 
-from editloom.operators.align import SCORES, align_many, align_reads
+import resource
+
+from editloom.operators import align
+from editloom.operators.align import SCORES, align_long, align_many, align_reads
 
 
 def best_score(q, s):
@@ -65,3 +68,31 @@ def test_strands_and_empty(spark):
     assert (got["a"].sstart, got["a"].send, got["a"].mismatch) == (5, 24, 0)
     assert (got["b"].sstart, got["b"].send, got["b"].sseq) == (22, 3, q)
     assert align_reads(reads.limit(0), [("q", q)]).count() == 0 == align_reads(reads, []).count()
+
+
+def test_long_reads_in_windows(monkeypatch):
+    r = random.Random(9)
+    q = "".join(r.choice("ACGT") for _ in range(25)).encode()
+    reads = []
+    for _ in range(40):
+        parts = []
+        for _ in range(6):
+            s = list(q.decode())
+            for _ in range(r.randint(1, 8)):
+                k = r.randrange(len(s))
+                s[k : k + 1] = r.choice(["", "A", "GTTTTT", "N"])
+            parts.append("".join(r.choice("ACGT") for _ in range(r.randint(0, 60))) + "".join(s))
+        reads.append("".join(parts).encode())
+    whole = align_many(q, reads)
+    monkeypatch.setattr(align, "CELLS", 1)  # windows as short as they may be
+    assert [align_long(q, s) for s in reads] == whole
+
+
+def test_a_read_of_a_megabase_needs_bounded_memory():
+    r = random.Random(1)
+    q = "".join(r.choice("ACGT") for _ in range(500)).encode()
+    read = ("".join(r.choice("ACGT") for _ in range(700_000)) + q.decode() + "".join(r.choice("ACGT") for _ in range(300_000))).encode()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    hit = align_long(q, read, least=40)
+    assert hit[0] == 1000 and hit[3] == 700_001 and hit[4] == 700_500
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB

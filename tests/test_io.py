@@ -2,6 +2,7 @@
 
 import gzip
 import struct
+import time
 import zlib
 
 from editloom.sources import reads, sinks, tables
@@ -65,7 +66,38 @@ def test_tables(spark, tmp_path):
     (tmp_path / "e.tsv").write_bytes(b"")
     assert tables.read_hits(spark, f"{tmp_path}/e.tsv").count() == 0
     (tmp_path / "s.tsv").write_bytes(b"read_id\tlen\na\t5\nb\t6\n\n")
-    assert tables.count_lines(spark, f"{tmp_path}/s.tsv") == 2
+    assert tables.read_lines(spark, f"{tmp_path}/s.tsv").count() == 2
+    assert tables.read_lines(spark, f"{tmp_path}/s.tsv", with_header=True).count() == 3
+
+
+def test_a_list_is_read_as_it_was_written(spark, tmp_path):
+    rows = [("g1", "r1", "AC-T", True, None), ("g2", None, None, False, 5)]
+    df = spark.createDataFrame(rows, "target_gene string, read_name string, read_seq string, intact boolean, n int")
+    sinks.write_csv(df, f"{tmp_path}/l.csv")
+    assert sorted(map(tuple, tables.read_stage(spark, f"{tmp_path}/l.csv", "target_gene string, read_name string, read_seq string, intact boolean, n int").collect())) == [("g1", "r1", "AC-T", True, None), ("g2", None, None, False, 5)]
+
+
+def test_several_files_by_a_pattern(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part_{k}.fa").write_text(f">r{k}\nACGT\n")
+    (tmp_path / "other.txt").write_text(">x\nAA\n")
+    assert sorted(x.id for x in reads.read_fasta(spark, f"{tmp_path}/part_*.fa").collect()) == ["r0", "r1", "r2"]
+
+
+def test_bam_of_many_blocks_in_linear_time():
+    head = b"BAM\1" + struct.pack("<ii", 0, 0)
+    one = b"".join(record(f"read{k}", "ACGT" * 50) for k in range(60))
+    data = block(head) + block(one) * 4000 + block(b"")  # tens of thousands of records in 4,000 blocks
+    began = time.process_time()
+    assert sum(map(len, reads.unblocked(data))) == len(head) + 4000 * len(one)
+    took = time.process_time() - began
+    began = time.process_time()
+    sum(map(len, reads.unblocked(data + data[len(block(head)) :])))
+    assert time.process_time() - began < 4 * took + 0.5
+    small = block(head) + block(one[:1000]) + block(one[1000:])
+    assert [x[0] for x in reads.bam_records(memoryview(small))] == [f"read{k}" for k in range(60)]
+    plain = gzip.compress(head + one[:5000]) + gzip.compress(one[5000:])  # members without their size
+    assert [x[1] for x in reads.bam_records(plain)] == ["ACGT" * 50] * 60
 
 
 def test_sinks(spark, tmp_path):

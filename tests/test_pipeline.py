@@ -1,9 +1,14 @@
 """A planted experiment from reads to genotypes, on both strands; stages that are taken up again; a stream of files."""
 
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from editloom.operators import align, amplicons, demux
+from editloom.sources import reads as sources
+from editloom.sources import tables
 from editloom.plans.pipeline import Inputs, Options, call_edits, write_outputs
 from editloom.streaming import ingest
 
@@ -52,6 +57,11 @@ def test_planted_edits_are_called(spark, planted, caplog):
     assert summary["S0", "genotype"] == "ref/del3" and summary["S0", "count"] == "15(8,7)"
     write_outputs(out, f"{at}/out", output_reads=True)
     assert spark.read.csv(f"{at}/out/editcall/editcall_summary.csv", header=True).count() == 6
+    listed = [(x.index_pair_id, x.target_gene, -int(x["count"])) for x in spark.read.csv(f"{at}/out/editcall/editcall_all.csv", header=True).collect()]
+    assert listed == sorted(listed) and len(listed) == 6
+    printed = spark.read.csv(f"{at}/out/summary/aligned_reads_per_gene.tsv", sep="\t").collect()
+    assert [tuple(x) for x in printed[:2]] == [(None, "GA", "GB"), ("Aligned reads per gene", "26", "22")]
+    assert spark.read.text(f"{at}/out/non_indexed_aligned_read_seq.fa").count() == 0  # every read has its indexes
     caplog.set_level("INFO")
     call_edits(spark, inputs, f"{at}/work", options, resume=True)
     assert sum("is taken from" in m for m in caplog.messages) == 5
@@ -61,6 +71,35 @@ def test_planted_edits_are_called(spark, planted, caplog):
     assert {(x.index_pair_id, x.target_gene): x.genotype for x in again["calls"].collect()}["S0", "GA"] == "ref"
 
 
+def test_hits_and_summary_as_inputs(spark, planted):
+    """What a search tool found takes the place of the built-in search; the result is the same."""
+    at, inputs = planted
+    base = sources.read_fasta(spark, inputs.reads)
+    index = tables.read_index_list(spark, inputs.index_list)
+    long = [f.split()[0] for f in tables.HITS_LONG.split(", ")]
+    given = {}
+    for side in "fr":
+        found = align.align_reads(base, [(x.id, x.seq) for x in demux.first_indexes(index, side).collect()], 4, 24)
+        found.select(*long).coalesce(1).write.csv(f"{at}/hits_{side}", sep="\t", mode="overwrite")
+        given[f"index_hits_{side}"] = f"{at}/hits_{side}"
+    genome = sources.read_fasta(spark, inputs.genome)
+    known = amplicons.amplicons(tables.read_primers(spark, inputs.primers), genome)
+    align.align_reads(base.where("length(seq) >= 100"), [(x.gene, x.seq) for x in known.collect()], 11, 40).select(*long).write.csv(f"{at}/hits_a", sep="\t", mode="overwrite")
+    sites = amplicons.exact_sites(amplicons.split_primers(tables.read_primers(spark, inputs.primers)), genome)
+    forth = F.col("strand") == "+"
+    short = sites.select(F.concat_ws("_", "gene", "side").alias("q"), "chrom", F.lit(1).alias("a"), F.lit(20).alias("b"), F.when(forth, F.col("start")).otherwise(F.col("end")), F.when(forth, F.col("end")).otherwise(F.col("start")).alias("z"), F.lit(20).alias("n"), F.lit(100.0).alias("p"))
+    short.write.csv(f"{at}/hits_p", sep="\t", mode="overwrite")
+    (at / "summary.tsv").write_text("read_id\tlength\n" + "".join(f"read{k}\t5\n" for k in range(60)))
+    other = replace(inputs, amplicon_hits=f"{at}/hits_a", primer_hits=f"{at}/hits_p", summary=f"{at}/summary.tsv", **given)
+    out = call_edits(spark, other, f"{at}/hits", Options(size_low=100))
+    plain = call_edits(spark, inputs, f"{at}/work", Options(size_low=100), resume=True)
+    assert sorted(map(tuple, out["calls"].collect())) == sorted(map(tuple, plain["calls"].collect()))
+    assert sorted(map(tuple, out["amplicons"].collect())) == sorted(map(tuple, plain["amplicons"].collect()))
+    raw = lambda o: o["read_stats"].where("ordinal = 0").first().n
+    assert raw(out) == 60
+    assert raw(call_edits(spark, other, f"{at}/hits", Options(size_low=100, summary_header_counts=True), resume=True)) == 61
+
+
 def test_no_reads_give_empty_tables(spark, planted):
     at, inputs = planted
     out = call_edits(spark, inputs, f"{at}/none", Options(size_low=10_000))
