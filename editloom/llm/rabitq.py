@@ -21,6 +21,8 @@ from editloom.llm.vectors import common_length, matrix, sorted_groups, takes_par
 
 #: The most vectors that centroids and the number of probes are fitted on (those with the least hashes).
 SAMPLE = 16_384
+#: Rows of the sample that a list needs at least.
+PER_LIST = 16
 #: The recall that the number of probes must reach on the sample.
 RECALL = 0.99
 #: Standard deviations that the error bound spans.
@@ -147,7 +149,8 @@ def nearest_vectors(vectors: DataFrame, is_query, k: int = 20, recall: float = R
     n = rows.count()
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect() if n else []
     sample = np.array([x.embedding for x in drawn], dtype=np.float64).reshape(len(drawn), length)
-    lists = min(1024, len(sample), 1 << max(0, round(math.log2(max(math.sqrt(n) / 2, 1))))) if n else 0
+    # about half the root of the number of rows, as far as the sample has enough rows for each list
+    lists = min(max(1, len(sample) // PER_LIST), 1 << max(0, round(math.log2(max(math.sqrt(n) / 2, 1)))))
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     c = centroids_of(sample, lists, seed=seed)
