@@ -88,7 +88,9 @@ def _variations(random: np.random.Generator) -> list[tuple[list[str], str]]:
     for family in names:
         for text in TEMPLATES[family]:
             for _ in range(24):
-                words = [w if random.random() > 0.03 else random.choice(filler) for w in words_of(text) if random.random() > 0.03]
+                words = words_of(text)
+                if len(words) > 2:  # a tag is a tag only as it is
+                    words = [w if random.random() > 0.03 else random.choice(filler) for w in words if random.random() > 0.03]
                 out.append((some(8) + words + some(8), family))
     pool = [w for texts in TEMPLATES.values() for t in texts for w in words_of(t)]
     for text in OTHERS:
