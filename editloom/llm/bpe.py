@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from editloom.llm.common import table
 
 #: Characters of text whose words are encoded together; a longer text is taken alone.
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 20
 #: Words whose encodings a worker remembers; beyond, it forgets them all and computes them again when they return.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 #: Pairs of tokens of which a worker remembers whether they may stand together.
-PAIRS = 250_000
+PAIRS = 500_000
 #: Characters that NFC leaves alone and on which both engines of regular expressions agree: ASCII without controls,
 #: Latin-1 and Latin Extended-A without spaces, superscripts, fractions and the dotted capital I.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]*")
