@@ -42,14 +42,33 @@ READ_STATS = (
 )
 
 
-def read_stats(raw: DataFrame, filtered: DataFrame, demultiplexed: DataFrame, unassigned: DataFrame, aligned: DataFrame, called: DataFrame, most: int = QSTART_MAX) -> DataFrame:
+def assigned(demultiplexed: DataFrame, unassigned: DataFrame, most: int = QSTART_MAX) -> DataFrame:
+    """One row: the number of demultiplexed reads, which are distinct ones, and the breakdown of the others."""
+    return demultiplexed.agg(F.countDistinct("sseqid").alias("demultiplexed")).crossJoin(unassigned_breakdown(unassigned, most))  # one row each
+
+
+def assigned_of(classified: DataFrame, most: int = QSTART_MAX) -> DataFrame:
+    """The same from the classified pairs of all reads, in one pass: a read that is not settled has both its starts if one
+    of its pairs has the least of either, which is so if the least sum of both is the sum of the least.
+    """
+    rest = lambda x: F.min(F.when(F.col("class") == "rest", x))
+    f, r = F.col("qstart_f"), F.col("qstart_r")
+    reads = classified.groupBy("sseqid").agg(F.max(F.col("class").isin("complete_match", "single_match", "partial_match")).alias("done"), rest(f).alias("f"), rest(r).alias("r"), rest(f + r).alias("both"))
+    known = F.col("both") == F.col("f") + F.col("r")
+    starts = reads.select("done", F.col("f").isNotNull().alias("rest"), F.when(known, F.col("f")).alias("qstart_f"), F.when(known, F.col("r")).alias("qstart_r"))
+    f, r = F.col("qstart_f") <= most, F.col("qstart_r") <= most
+    return starts.agg(F.count_if("done").alias("demultiplexed"), F.count_if("rest").alias("n"), F.count_if(f & r).alias("both_sides"), F.count_if(f | r).alias("one_side"), F.count_if(~f & ~r).alias("no_index"))
+
+
+def read_stats(raw: DataFrame, filtered: DataFrame, assigned: DataFrame, aligned: DataFrame, called: DataFrame) -> DataFrame:
     """ordinal, label, n and pct (of raw reads, to three significant digits; null for these themselves).
 
-    Demultiplexed and aligned reads are distinct ones; edit-called reads are the sum of the called patterns' counts.
+    ``assigned`` is the row of that function. Aligned reads are distinct ones; edit-called reads are the sum of the called
+    patterns' counts.
     """
     parts = [
-        raw.agg(F.count("*").alias("raw")), filtered.agg(F.count("*").alias("filtered")), demultiplexed.agg(F.countDistinct("sseqid").alias("demultiplexed")),
-        aligned.agg(F.countDistinct("read_name").alias("aligned")), called.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("editcalled")), unassigned_breakdown(unassigned, most),
+        raw.agg(F.count("*").alias("raw")), filtered.agg(F.count("*").alias("filtered")), assigned,
+        aligned.agg(F.countDistinct("read_name").alias("aligned")), called.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("editcalled")),
     ]
     row = parts[0]
     for part in parts[1:]:

@@ -157,7 +157,7 @@ def call_edits(spark: SparkSession, inputs: Inputs, folder: str, options: Option
     per_index, per_gene = report.reads_per_index(split["demultiplexed"]), report.reads_per_gene(aligned, made["called"], late)
     return known | {"raw": raw, "reads": base, "aligned": aligned} | split | made | {
         "summary": genotype.genotype_matrix(made["calls"], [g for g, _ in _few(known["windows"].select(F.col("gene").alias("id"), "seq").orderBy("id"), "genes")]),
-        "read_stats": report.read_stats(counted, base, split["demultiplexed"], split["undemultiplexed"], aligned, made["called"], o.qstart_max),
+        "read_stats": report.read_stats(counted, base, report.assigned(split["demultiplexed"], split["undemultiplexed"], o.qstart_max), aligned, made["called"]),
         "reads_per_index": per_index,
         "reads_per_gene": per_gene,
         "index_report": report.index_report(per_index),

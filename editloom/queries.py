@@ -369,7 +369,7 @@ select x.ordinal, x.label, cast(x.n as bigint) n, case when x.ordinal > 0 then {
 def read_stats(t):
     classified = demux.classify(_pairs(t))
     raw = t("select o_orderkey id, o_totalprice from {orders}")
-    return report.read_stats(raw, raw.where("o_totalprice > 1000"), demux.demultiplexed(classified), demux.undemultiplexed(classified), t(v.ALIGNED), _called(t))
+    return report.read_stats(raw, raw.where("o_totalprice > 1000"), report.assigned_of(classified), t(v.ALIGNED), _called(t))
 
 
 @_query(f"with {_CLASSIFIED}, {_REST}, aligned as ({v.ALIGNED}), {_LATE} select * from late")

@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from editloom.operators import demux
+from editloom.operators import demux, report
 
 COLUMNS = "qseqid string, sseqid long, qstart int, qend int, qlen int, sstart int, slen int, mismatch int, gapopen int"
 
@@ -88,3 +88,11 @@ def test_one_shuffle_a_side(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_counts_in_one_pass(spark):
+    f, r = hits("F", 1), hits("R", 2)
+    classified = demux.classify(demux.opposite_pairs(spark.createDataFrame(f, COLUMNS), spark.createDataFrame(r, COLUMNS)))
+    for most in (1, 2, 15):
+        want = report.assigned(demux.demultiplexed(classified), demux.undemultiplexed(classified), most).first()
+        assert report.assigned_of(classified, most).first() == want and want.n > 0
