@@ -1,8 +1,9 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k sampling.
 
 Both models are multinomials over hashed unigrams and bigrams of lower-cased pieces (runs of letters and digits, runs of
-punctuation). The importance weight of a text is the ratio of its probabilities under them, whatever its length. Keys of
-log weight plus Gumbel noise make the k largest a sample without replacement in proportion to the weights.
+punctuation). The importance weight of a text is the ratio of its probabilities under them, tempered by its length: n-grams
+of a text depend on each other, so n of them count as INFORMATION * ln(1 + n) independent ones, at every length. Keys of log
+weight plus Gumbel noise make the k largest a sample without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from editloom.llm.common import cut, lowered, mixed, piece_spans, steps, table,
 BUCKETS = 1 << 16
 #: The most labelled rows that the target model and the cut are fitted on (those with the least hashes of doc_id).
 LABELLED = 16_384
+#: Independent n-grams that a text holds for each unit of the logarithm of its length. Without this, sums over long texts
+#: spread so far that with few labels a clean text of a rare topic lies below all junk, and nothing can be rejected.
+INFORMATION = 16.0
 #: What a lost clean text costs, in junk texts that stay.
 CLEAN_COST = 20.0
 SEED = 42
@@ -71,14 +75,17 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, alpha: float = 1.0) -> np.nda
 
 
 def weights_of(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """The log importance weight of each text: the sum over its n-grams; 0 for a text without words."""
-    out = np.zeros(len(texts))
+    """The log importance weight of each text: the mean over its n-grams, times the independent ones that they count as;
+    0 for a text without words.
+    """
+    sums, n = np.zeros(len(texts)), np.zeros(len(texts))
     for bucket, doc in features(texts):
         if len(doc):
             first = int(doc.min())
-            sums = np.bincount(doc - first, weights=ratio[bucket])
-            out[first : first + len(sums)] += sums
-    return out
+            here = np.bincount(doc - first)
+            n[first : first + len(here)] += here
+            sums[first : first + len(here)] += np.bincount(doc - first, weights=ratio[bucket])
+    return sums / np.maximum(n, 1) * INFORMATION * np.log1p(n)
 
 
 class ImportanceModel:

@@ -69,7 +69,10 @@ def test_model_and_weights_equal_a_plain_one(spark, corpus):
     assert (raw == want[0]).all() and (target == want[1]).all()
     ratio = quality.log_ratio(target, raw)
     sums = [target.sum() + quality.BUCKETS, raw.sum() + quality.BUCKETS]
-    scores = [sum(math.log((want[1][b] + 1) / sums[0]) - math.log((want[0][b] + 1) / sums[1]) for b in plain_buckets(t)) for t, _ in rows]
+    scores = []
+    for t, _ in rows:
+        logs = [math.log((want[1][b] + 1) / sums[0]) - math.log((want[0][b] + 1) / sums[1]) for b in plain_buckets(t)]
+        scores.append(sum(logs) / max(1, len(logs)) * 16 * math.log(1 + len(logs)))
     assert quality.weights_of(pa.array([t for t, _ in rows]), ratio) == pytest.approx(scores)
 
 
