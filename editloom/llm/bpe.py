@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editloom.llm.common import table
+from editloom.llm.common import released, table
 
 #: Characters of text whose words are encoded together; a longer text is taken alone.
 RUN_CHARS = 1 << 20
@@ -242,7 +242,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return rows.mapInArrow(lambda x: released(run(x)), f"{fields}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editloom.llm.common import cut, lowered, mixed, piece_spans, steps, table, word_hashes
+from editloom.llm.common import cut, lowered, mixed, piece_spans, released, steps, table, word_hashes
 
 #: Hash buckets of the two models, so the most counts that reach the driver.
 BUCKETS = 1 << 16
@@ -60,7 +60,7 @@ def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         here = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(counts[0][here]), pa.array(counts[1][here])], ["bucket", "raw", "target"])
 
-    counted = docs.select(F.col("text").cast("string"), F.coalesce("is_target", F.lit(False))).mapInArrow(run, "bucket long, raw long, target long")
+    counted = docs.select(F.col("text").cast("string"), F.coalesce("is_target", F.lit(False))).mapInArrow(lambda x: released(run(x)), "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, n, m in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # BUCKETS rows at most
         raw[bucket], target[bucket] = n, m

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editloom.llm.common import cut, lowered, steps, word_spans
+from editloom.llm.common import cut, lowered, released, steps, word_spans
 from editloom.llm.graph import connected_components
 
 BITS, SEGMENTS, WIDTH = 64, 8, 3
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0).cast(pa.int64()), pa.array(fingerprints_of(x.column(1)).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda x: released(run(x)), "doc_id long, fp long")
 
 
 def _local_roots(near: np.ndarray) -> np.ndarray:
