@@ -2,7 +2,7 @@
 
 How many rows of each partition go to each shard is drawn first, exactly as a uniform shuffle would have it: partition by
 partition from the places that are left, without replacement. Then each partition permutes its rows and deals them out by
-its row of the matrix, rows are exchanged, and each shard permutes what it got.
+its row of the matrix, whole rows are exchanged, and each shard permutes what it got.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from editloom.llm.common import cut, table
+from editloom.llm.common import cut, released, table
 
-#: About so many rows of a shard are permuted in one task.
+#: About so many rows of a shard, and bytes of their texts, are permuted in one task.
 RUN_ROWS = 50_000
+RUN_BYTES = 1 << 24
 SEED = 42
 
 
@@ -64,41 +66,62 @@ def draw(random: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row of ``docs`` (doc_id, text), in a uniform random order.
+    """doc_id, size, text_crc32, shard, slot and row of every row of ``docs`` (doc_id, text), in a uniform random order.
+
+    ``row`` is the whole row, its text and further columns included, whatever their names: whole rows are exchanged, so a
+    shard holds its texts, and size and checksum are taken from the texts that arrived.
 
     Shard sizes differ by one row at most, and slots of a shard run from 0 without gaps. Rows are dealt one by one, so
     equal texts and repeated rows may fall into different shards. The rows are written to the checkpoint folder before
     they are counted, so a partition that is computed again holds the same rows in the same order.
 
-    A null text has no bytes: size 1, text_crc32 0. A null doc_id is allowed; an empty table gives no rows; further
-    columns are ignored.
+    A null text has no bytes: size 1, text_crc32 0. A null doc_id is allowed; an empty table gives no rows.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    thin = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
-    counts = {r.p: r.n for r in thin.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # one number a partition
+    whole = cut(docs.select(F.struct("*").alias("row")))
+    bytes_of = F.coalesce(F.sum(F.octet_length(F.col("row.text").cast("string"))), F.lit(0))
+    found = whole.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), bytes_of.alias("bytes")).collect()  # two numbers a partition
+    counts = {r.p: r.n for r in found}
     parts = sorted(counts)
     matrix = communication_matrix([counts[p] for p in parts], shards, seed)
-    of = thin.sparkSession.sparkContext.broadcast({p: matrix[k] for k, p in enumerate(parts)})
-    runs = max(1, -(-sum(counts.values()) // (shards * RUN_ROWS)))
+    of = whole.sparkSession.sparkContext.broadcast({p: matrix[k] for k, p in enumerate(parts)})
+    runs = max(1, -(-sum(counts.values()) // (shards * RUN_ROWS)), -(-sum(r.bytes for r in found) // (shards * RUN_BYTES)))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = TaskContext.get().partitionId()
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
+    def places(p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and key of each row of a partition, in the order of its rows."""
         random = np.random.default_rng([seed, 1, p])
-        shard = random.permutation(np.repeat(np.arange(len(of.value[p])), of.value[p]))
-        key = random.integers(0, 1 << 62, len(shard))
-        rows = rows.append_column("shard", pa.array(shard, pa.int32())).append_column("run", pa.array(key % runs)).append_column("key", pa.array(key // runs)).append_column("at", pa.array(np.arange(len(shard)) + p * (1 << 32)))
-        yield from rows.to_batches(max_chunksize=10_000)
+        shard = random.permutation(np.repeat(np.arange(shards), of.value[p]))
+        return shard, random.integers(0, 1 << 62, len(shard))
 
-    dealt = thin.mapInArrow(deal, "doc_id long, size long, text_crc32 long, shard int, run long, key long, at long")
-    sizes = cut(dealt.groupBy("shard", "run").agg(F.count("*").alias("n")))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, at = TaskContext.get().partitionId(), 0
+        if p not in of.value:
+            return
+        shard, key = places(p)
+        for x in batches:
+            here = slice(at, at + x.num_rows)
+            columns = [shard[here].astype(np.int32), key[here] % runs, key[here] // runs, np.arange(here.start, here.stop) + p * (1 << 32)]
+            yield pa.RecordBatch.from_arrays([*x.columns, *map(pa.array, columns)], ["row", "shard", "run", "key", "at"])
+            at = here.stop
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for p in x.column(0).to_pylist():
+                shard, key = places(parts[p])
+                n = np.bincount(shard * runs + key % runs, minlength=shards * runs)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array((some // runs).astype(np.int32)), pa.array(some % runs), pa.array(n[some])], ["shard", "run", "n"])
+
+    schema = StructType(whole.schema.fields + [StructField("shard", IntegerType()), *(StructField(c, LongType()) for c in ("run", "key", "at"))])
+    dealt = whole.mapInArrow(lambda x: released(deal(x)), schema)
+    known = whole.sparkSession.range(len(parts)).mapInArrow(count, "shard int, run long, n long")  # without reading a row
+    sizes = cut(known.groupBy("shard", "run").agg(F.sum("n").alias("n")))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "run").orderBy("key", "at")) - 1
-    return dealt.withColumn("within", within).join(starts, ["shard", "run"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"))
+    placed = dealt.withColumn("within", within).join(F.broadcast(starts), ["shard", "run"])
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    return placed.select(F.col("row.doc_id").cast("long").alias("doc_id"), size, crc, "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"), "row")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -64,6 +65,22 @@ def test_law_and_digests(spark):
     assert sharding.shuffle_into_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_hold_whole_rows(spark):
+    docs = documents(spark, odd_rows()).repartition(5)
+    got = sharding.shuffle_into_shards(docs)
+    assert got.select("row.*").schema == docs.schema
+    rows = got.collect()
+    assert Counter(tuple(x.row) for x in rows) == Counter(map(tuple, docs.collect()))
+    assert all((x.doc_id, x["size"]) == (x.row.doc_id, len((x.row.text or "").encode()) + 1) for x in rows)
+
+
+def test_texts_are_exchanged(spark, tmp_path):
+    docs = documents(spark, [(k, f"text {k}", "s") for k in range(100)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = sharding.op8(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(shard.*\n(?:.*\n)*?.*MapInArrow.*row#", plan)
+
+
 def test_reruns_agree_and_order_is_mixed(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RUN_ROWS", 50)  # several runs a shard
     docs = documents(spark, [(k, "t", "s") for k in range(4000)])
