@@ -4,10 +4,14 @@ Two texts whose sets of shingles have the Jaccard similarity s differ in a share
 their fingerprints, give or take. At a similarity of 0.8 that is too many for keys that every pair must share, so keys
 are samples of bits, in as many tables as it takes. In a bucket, the words of two fingerprints form a ring: a pair goes
 on to the whole distance only if from some word on all sums of differences stay within proportional budgets.
+
+Such keys find nearly all links. Those they leave out are found exactly: all fingerprints whose groups are still apart are
+compared by keys that every near pair shares, sixteen bits of which few differ.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -25,10 +29,14 @@ WORDS = 4
 BITS = 64 * WORDS
 #: Standard deviations of the distance that the limit leaves room for.
 ROOM = 1.6
-#: The share of pairs just at the similarity that may share no bucket.
+#: The share of pairs just at the similarity that may share no bucket, and are left to the search between groups.
 MISS = 0.02
 #: The most rows of a bucket that are compared with each other at once.
 BLOCK = 1024
+#: Rows of a part in the search between groups: a few parts, but as many as keep to the most rows.
+PARTS, LEAST_ROWS, MOST_ROWS = 8, 8192, 200_000
+#: A group with more rows than this in a task is held against other rows only; pairs that are expanded at once.
+MANY, PAIRS = 2048, 1 << 19
 SEED = 42
 
 
@@ -204,15 +212,119 @@ def _linked(groups: Iterator[pa.RecordBatch], limit: int, keys: int, few: int =
         yield found(pa.Table.from_batches(held))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group, of batches sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for x in batches:
+        by = np.stack([x.column(k).to_numpy() for k in range(keys)], axis=1)
+        edges = [*np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1, len(by)]
+        for a, b in zip([0, *edges], edges):  # noqa: B905
+            if b > a:
+                if held and tuple(by[a]) != name:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                name = tuple(by[a])
+                held.append(x.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _between(fps: np.ndarray, root: np.ndarray, others: np.ndarray, other_root: np.ndarray, limit: int) -> np.ndarray:
+    """The distinct pairs of roots, of all pairs of a row and another one that are near and differ in root.
+
+    If at most ``limit`` bits differ, then in one of the words of 32 bits no more than their share, and in one of its
+    halves no more than half of that. So rows are sorted by each half, and looked up under all values so near to it.
+    """
+    in_word = limit // (2 * WORDS)
+    masks = [sum(1 << k for k in bits) for n in range(min(16, in_word // 2) + 1) for bits in itertools.combinations(range(16), n)]
+    halves, other_halves = fps.view(np.uint16), others.view(np.uint16)
+    out = [np.zeros((0, 2), np.int64)]
+    for h in range(4 * WORDS):
+        order, other_order = np.argsort(halves[:, h], kind="stable"), np.argsort(other_halves[:, h], kind="stable")
+        value = halves[order, h]
+        rest, other_rest = halves[order, h ^ 1], other_halves[other_order, h ^ 1]  # of the same word
+        begin = np.searchsorted(other_halves[other_order, h], np.arange((1 << 16) + 1))
+        size = np.diff(begin)
+        for mask in masks:
+            at = value ^ np.uint16(mask)
+            n, room = size[at], in_word - mask.bit_count()
+            ends = np.cumsum(n)
+            shift = begin[at] - (ends - n)
+            cuts = [*np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)), len(n)]
+            for a, b in zip([0, *cuts], cuts):  # noqa: B905
+                if a == b:
+                    continue
+                before = int(ends[a - 1]) if a else 0
+                i = np.repeat(np.arange(a, b), n[a:b])
+                j = np.arange(before, int(ends[b - 1])) + shift[i]
+                some = np.flatnonzero(np.bitwise_count(rest[i] ^ other_rest[j]) <= room)
+                i, j = order[i[some]], other_order[j[some]]
+                apart = root[i] != other_root[j]
+                i, j = i[apart], j[apart]
+                hit = np.bitwise_count(fps[i] ^ others[j]).sum(axis=1) <= limit
+                if hit.any():
+                    out.append(np.unique(np.stack([root[i[hit]], other_root[j[hit]]], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _apart(fps: np.ndarray, root: np.ndarray, others: np.ndarray, other_root: np.ndarray, limit: int) -> np.ndarray:
+    """``_between``, where pairs within large groups are not even looked at."""
+    names, counts = np.unique(np.concatenate([root, other_root]), return_counts=True)
+    large = names[counts > MANY]
+    found = [np.zeros((0, 2), np.int64)]
+    for name in [None, *large]:
+        mine = ~np.isin(root, large) if name is None else root == name
+        theirs = np.ones(len(others), bool) if name is None else other_root != name
+        if mine.any() and theirs.any():
+            found.append(_between(fps[mine], root[mine], others[theirs], other_root[theirs], limit))
+    return np.concatenate(found)
+
+
+def links_between(fps: DataFrame, limit: int, n: int) -> DataFrame:
+    """Links (a, b) between roots: all of which two of the ``n`` rows of ``fps`` (node, root, f0, f1, ...) are near.
+
+    This is exact. Rows are dealt into parts, and every pair of parts meets in a task, so no task holds more than two
+    parts. Time grows with the square of n, by a few nanoseconds a pair; what is shuffled, with n and the number of parts.
+    """
+    parts = max(1, min(PARTS, n // LEAST_ROWS), -(-n // MOST_ROWS))
+    words = [f"f{w}" for w in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 2):
+            i, j, own, root = (rows.column(k).to_numpy() for k in range(4))
+            fps = np.stack([rows.column(4 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
+            a, b = own == i, own == j
+            pairs = _apart(fps[a], root[a], fps[b], root[b], limit)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = fps.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    placed = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", *words)
+    met = placed.repartition(parts * (parts + 1), "i", "j").sortWithinPartitions("i", "j")
+    return cut(met.mapInArrow(lambda x: released(run(x)), "a long, b long")).distinct()
+
+
 def near_links(fps: DataFrame, similarity: float = SIMILARITY, miss: float = MISS, block: int = BLOCK, n: int | None = None) -> DataFrame:
     """Links (a, b) that span the near groups of ``fps`` (node, f0, f1, ...), distinct nodes with their fingerprints.
 
+    Groups are exact: two nodes are joined if, and only if, a chain of fingerprints that differ in ``limit_for`` bits at most
+    leads from one to the other. ``likely_links`` find most of it; ``links_between`` finds what is left.
+    """
+    n = fps.count() if n is None else n
+    words = [f"f{w}" for w in range(WORDS)]
+    roots = connected_components(likely_links(fps, similarity, miss, block, n))
+    rooted = fps.select("node", *words).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *words)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_between(rooted, limit_for(similarity), n))
+
+
+def likely_links(fps: DataFrame, similarity: float, miss: float, block: int, n: int) -> DataFrame:
+    """Links (a, b) of ``n`` nodes that meet in a bucket: nearly all that it takes to span the near groups.
+
     Keys have about as many bits as numbers of nodes, so buckets of unlike texts stay small, and tables grow with a power of the
     number of nodes below a quarter. A bucket of more than ``block`` rows holds copies: it is dealt out to blocks; of each
     block its leading rows, to which all others are near, meet again in a next round. If a round leaves more than half
     of the rows, all pairs of blocks are compared instead. So no task holds more than two blocks of a bucket.
     """
-    n = fps.count() if n is None else n
     bits = max(8, min(40, round(math.log2(max(n, 1))) - 2))  # about four unlike texts a bucket
     tables, limit = tables_for(similarity, bits, miss), limit_for(similarity)
     words = [f"f{w}" for w in range(WORDS)]

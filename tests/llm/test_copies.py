@@ -73,6 +73,43 @@ def test_components_are_those_of_the_fingerprints(spark):
         assert len(edges) < 40 * len(fps)
 
 
+def flipped(r, f, n):
+    out = f.copy()
+    for bit in r.choice(copies.BITS, n, replace=False):
+        out[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    return out
+
+
+def test_no_link_at_the_limit_is_left_out(spark, monkeypatch):
+    """Pairs just at the limit, which samples of bits miss now and then, and chains of them; in several parts."""
+    monkeypatch.setattr(copies, "LEAST_ROWS", 300)
+    r, limit = np.random.default_rng(8), copies.limit_for(0.8)
+    fps = []
+    for _ in range(400):
+        fps += [r.integers(0, 2**64, copies.WORDS, dtype=np.uint64)]
+        fps += [flipped(r, fps[-1], limit), flipped(r, fps[-1], limit + 1)]
+    for _ in range(100):
+        fps.append(flipped(r, fps[-1], limit))
+    near = np.bitwise_count(np.array(fps)[:, None] ^ np.array(fps)[None, :]).sum(axis=2) <= limit
+    want = components(range(len(fps)), zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near, 1)))))
+    df = spark.createDataFrame([(k, *map(int, f.view(np.int64))) for k, f in enumerate(fps)], "node long, " + ", ".join(f"f{w} long" for w in range(copies.WORDS)))
+    assert components(range(len(fps)), [(x.a, x.b) for x in copies.near_links(df).collect()]) == want
+
+
+def test_links_between_groups_are_exact(monkeypatch):
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**64, (10, copies.WORDS), dtype=np.uint64)
+    fps = np.array([flipped(r, base[k % 10], int(r.integers(10, 40))) for k in range(400)])
+    for limit, many, pairs in ((47, 2048, 1 << 19), (47, 20, 100), (20, 20, 1 << 19), (60, 2048, 1 << 19)):
+        monkeypatch.setattr(copies, "MANY", many)
+        monkeypatch.setattr(copies, "PAIRS", pairs)
+        root = r.integers(0, 12, 400) if many == 20 else np.arange(400)
+        for a, b in ((slice(0, 400), slice(0, 400)), (slice(0, 150), slice(150, 400))):
+            near = np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]).sum(axis=2) <= limit
+            want = {(x, y) for x, y in zip(root[a][np.nonzero(near)[0]].tolist(), root[b][np.nonzero(near)[1]].tolist(), strict=True) if x != y}
+            assert set(map(tuple, copies._apart(fps[a], root[a], fps[b], root[b], limit).tolist())) == want
+
+
 def test_spread_is_exact():
     r = np.random.default_rng(3)
     for _ in range(20):
