@@ -219,7 +219,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
     for x in batches:
         by = np.stack([x.column(k).to_numpy() for k in range(keys)], axis=1)
         edges = [*np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1, len(by)]
-        for a, b in zip([0, *edges], edges):  # noqa: B905
+        for a, b in itertools.pairwise([0, *edges]):
             if b > a:
                 if held and tuple(by[a]) != name:
                     yield pa.Table.from_batches(held)
@@ -252,7 +252,7 @@ def _between(fps: np.ndarray, root: np.ndarray, others: np.ndarray, other_root:
             ends = np.cumsum(n)
             shift = begin[at] - (ends - n)
             cuts = [*np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)), len(n)]
-            for a, b in zip([0, *cuts], cuts):  # noqa: B905
+            for a, b in itertools.pairwise([0, *cuts]):
                 if a == b:
                     continue
                 before = int(ends[a - 1]) if a else 0
