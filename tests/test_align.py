@@ -5,7 +5,7 @@ import random
 import resource
 
 from editloom.operators import align
-from editloom.operators.align import SCORES, align_long, align_many, align_reads
+from editloom.operators.align import SCORES, align_long, align_many, align_reads, shared_words
 
 
 def best_score(q, s):
@@ -96,3 +96,29 @@ def test_a_read_of_a_megabase_needs_bounded_memory():
     hit = align_long(q, read, least=40)
     assert hit[0] == 1000 and hit[3] == 700_001 and hit[4] == 700_500
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
+
+
+def test_common_words_in_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    some = lambda n, letters: [(f"{'s' if k % 7 else 'twice'}{k if k % 7 else ''}", "".join(r.choice(letters) for _ in range(r.randint(0, 40)))) for k in range(n)]
+    left, right = [*some(60, "ACG"), ("null", None), (None, "ACGACG"), ("low", "A" * 50)], [*some(50, "ACGN"), ("odd", "ACG\u00e9\U0001f600ACG\u00e9\U0001f600")]
+
+    def by_rules(a, b, k):
+        out = {}
+        words = lambda s: {s[i : i + k] for i in range(len(s or "") - k + 1)}
+        for x, s in a:
+            for y, z in b:
+                if n := len(words(s) & words(z)):
+                    out[x, y] = out.get((x, y), 0) + n
+        return out
+
+    a, b = (spark.createDataFrame(x, "id string, seq string") for x in (left, right))
+    for letters, joined in ((align.LETTERS, align.JOINED), (150, 40)):
+        monkeypatch.setattr(align, "LETTERS", letters)
+        monkeypatch.setattr(align, "JOINED", joined)
+        for x, y, k in ((a, b, 3), (a, a, 3), (b, b, 5), (a, b, 30)):
+            got = shared_words(x, y, k)
+            rows = {(p.left_id, p.right_id): p.n_words for p in got.collect()}
+            assert rows == by_rules(*({id(a): left, id(b): right}[id(z)] for z in (x, y)), k) and got.count() == len(rows)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert shared_words(a.limit(0), a, 3).count() == 0
