@@ -126,15 +126,53 @@ def _way_back(query: bytes, read: bytes, h: np.ndarray, down: np.ndarray, i: int
     return score, i + 1, qend, j + 1, send, mismatches, gaps, q.decode(), s.decode()
 
 
-def _seeded(query: bytes, reads: list[bytes], seed: int) -> list[int]:
-    words = {query[k : k + seed] for k in range(len(query) - seed + 1)}
-    return [k for k, r in enumerate(reads) if any(w in r for w in words)]
+def _numbered(seqs: list[list[str]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each list, (row, word) of every place of a word of length ``k``; equal numbers are equal words in all lists."""
+    texts = [np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in seqs]
+    seen = np.zeros(1 + max((int(x.max()) for x in texts if len(x)), default=0), bool)
+    for x in texts:
+        seen[x] = True
+    letters, rank = max(1, int(seen.sum())), np.cumsum(seen) - 1
+    rows, codes = [], []
+    for x, of in zip(texts, seqs, strict=True):
+        sizes = np.fromiter(map(len, of), np.int64, len(of))
+        row, ends = np.repeat(np.arange(len(of)), sizes), np.cumsum(sizes)
+        at = np.flatnonzero(np.arange(len(x)) + k <= ends[row])
+        rows.append((row[at], at))
+        codes.append(rank[x].astype(np.int64))
+    found, most = [np.zeros(len(at), np.int64) for _, at in rows], 1
+    for j in range(k):
+        if most * letters >= 1 << 62:  # too many possible words for a number: those that occur are numbered anew
+            known = np.unique(np.concatenate(found))
+            found, most = [np.searchsorted(known, f) for f in found], len(known)
+        found, most = [f * letters + c[at + j] for f, c, (_, at) in zip(found, codes, rows, strict=True)], most * letters
+    return [(row, f) for f, (row, _) in zip(found, rows, strict=True)]
+
+
+def _seeded(queries: list[bytes], reads: list[bytes], seed: int) -> list[list[int]]:
+    """For each query, the reads that share a word of length ``seed`` with it; the reads' words are looked up once for all queries."""
+    (row, word), (query, theirs) = _numbered([[x.decode("latin-1") for x in side] for side in (reads, queries)], seed)
+    pairs = np.unique(theirs * len(queries) + query)
+    theirs, query = pairs // len(queries), pairs % len(queries)
+    known, first, n = np.unique(theirs, return_index=True, return_counts=True)
+    if not len(known):
+        return [[] for _ in queries]
+    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    hit = known[at] == word
+    pairs = np.unique(at[hit] * len(reads) + row[hit])  # a word counts once a read
+    at, row = pairs // len(reads), pairs % len(reads)
+    many = n[at]
+    of = query[np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    pairs = np.unique(of * len(reads) + np.repeat(row, many))
+    cuts = np.searchsorted(pairs, np.arange(len(queries) + 1) * len(reads))
+    return [(pairs[a:z] % len(reads)).tolist() for a, z in zip(cuts, cuts[1:])]
 
 
 def align_reads(reads: DataFrame, references: list[tuple[str, str]], seed: int = 0, min_score: int = 1, scores: tuple[int, int, int, int] = SCORES) -> DataFrame:
     """The best hit of each reference (id, sequence) with each row of ``reads`` (id, seq), on either strand; see HITS.
 
-    With ``seed`` a pair needs a common word of that length. Null and empty sequences have no hits; nothing is shuffled.
+    With ``seed`` a pair needs a common word of that length. Null and empty sequences have no hits. Reads are dealt out
+    evenly first, since a small file of short reads, which one task would read, is much work.
     A read that is too long for the cells is aligned in windows, so memory is bounded whatever its length.
     """
     known = [(name, seq.upper().encode()) for name, seq in references]
@@ -154,8 +192,8 @@ def align_reads(reads: DataFrame, references: list[tuple[str, str]], seed: int =
                 run_of = order[at:b]
                 at = b
                 both = [(k, strand, seqs[k] if strand == "+" else seqs[k].translate(_COMPLEMENT)[::-1]) for k in run_of for strand in "+-"]
-                for name, query in known:
-                    some = _seeded(query, [s for _, _, s in both], seed) if seed else range(len(both))
+                picked = _seeded([q for _, q in known], [s for _, _, s in both], seed) if seed and known else [range(len(both))] * len(known)
+                for (name, query), some in zip(known, picked, strict=True):
                     found: dict[int, tuple] = {}
                     wide = len(run_of) == 1 and (len(seqs[run_of[0]]) + 1) * (longest + 1) * 2 > CELLS
                     hits = [align_long(query, both[i][2], scores, min_score) for i in some] if wide else align_many(query, [both[i][2] for i in some], scores, min_score)
@@ -173,7 +211,9 @@ def align_reads(reads: DataFrame, references: list[tuple[str, str]], seed: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [f for f, _ in fields])
 
     rows = reads.select(F.col("id").cast("string").alias("id"), F.col("seq").cast("string").alias("seq"))
-    return rows.mapInArrow(run, HITS)
+    spark = reads.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts).mapInArrow(run, HITS)
 
 
 #: Letters of a block of sequences, and rows that are joined at once, where sequences are compared by their words.
@@ -181,27 +221,9 @@ LETTERS, JOINED = 2_000_000, 4_000_000
 
 
 def _words(seqs: list[list[str]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each list, (row, word) of the distinct words of length ``k`` of every row; equal numbers are equal words in all lists."""
-    texts = [np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in seqs]
-    seen = np.zeros(1 + max((int(x.max()) for x in texts if len(x)), default=0), bool)
-    for x in texts:
-        seen[x] = True
-    letters, rank = max(1, int(seen.sum())), np.cumsum(seen) - 1
-    rows, codes = [], []
-    for x, of in zip(texts, seqs, strict=True):
-        sizes = np.fromiter(map(len, of), np.int64, len(of))
-        row, ends = np.repeat(np.arange(len(of)), sizes), np.cumsum(sizes)
-        at = np.flatnonzero(np.arange(len(x)) + k <= ends[row])
-        rows.append((row[at], at))
-        codes.append(rank[x].astype(np.int64))
-    found, most = [np.zeros(len(at), np.int64) for _, at in rows], 1
-    for j in range(k):
-        if most * letters >= 1 << 62:  # too many possible words for a number: those that occur are numbered anew
-            known = np.unique(np.concatenate(found))
-            found, most = [np.searchsorted(known, f) for f in found], len(known)
-        found, most = [f * letters + c[at + j] for f, c, (_, at) in zip(found, codes, rows, strict=True)], most * letters
+    """As ``_numbered``, each word once a row; sorted by row."""
     out = []
-    for f, (row, _) in zip(found, rows, strict=True):
+    for row, f in _numbered(seqs, k):
         order = np.lexsort((f, row))
         f, row = f[order], row[order]
         new = np.ones(len(f), bool)

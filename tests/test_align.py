@@ -122,3 +122,20 @@ def test_common_words_in_blocks(spark, monkeypatch):
             assert rows == by_rules(*({id(a): left, id(b): right}[id(z)] for z in (x, y)), k) and got.count() == len(rows)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert shared_words(a.limit(0), a, 3).count() == 0
+
+
+def test_seeds_are_common_words():
+    r = random.Random(4)
+    some = lambda n, m: ["".join(r.choice("ACGTN") for _ in range(r.randint(0, m))).encode() for _ in range(n)]
+    queries, reads = [*some(9, 30), b"", "\u00e9ACG".encode()], [*some(80, 40), b"ACG\xff", "TT\u00e9ACGT".encode(), b""]
+    for seed in (1, 3, 4, 20, 50):
+        words = [{q[k : k + seed] for k in range(len(q) - seed + 1)} for q in queries]
+        assert align._seeded(queries, reads, seed) == [[k for k, s in enumerate(reads) if any(w in s for w in of)] for of in words]
+
+
+def test_reads_of_one_file_are_dealt_out(spark, tmp_path):
+    spark.createDataFrame([(str(k), "ACGTTGCAAGGCTTAACCGT") for k in range(400)], "id string, seq string").coalesce(1).write.parquet(f"{tmp_path}/reads")
+    reads = spark.read.parquet(f"{tmp_path}/reads")
+    assert reads.rdd.getNumPartitions() == 1
+    parts = align_reads(reads, [("q", "ACGTTGCAAGGCTTAACCGT")], seed=8).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(parts) == 400 and max(parts) < 100
