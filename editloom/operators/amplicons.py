@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from editloom.functions.sequences import reverse_complement, slice_of
@@ -19,16 +19,64 @@ def split_primers(primers: DataFrame) -> DataFrame:
     return primers.where(F.col("primer_id").rlike("_[FR]$")).select("primer_id", F.regexp_replace("primer_id", "_[FR]$", "").alias("gene"), side.alias("side"), "seq")
 
 
-def exact_sites(primers: DataFrame, genome: DataFrame, most: int = 200_000) -> DataFrame:
+#: So many primers at most are known to every task; more are joined.
+CARRIED = 20_000
+_SITES = "gene string, side string, chrom string, start int, end int, strand string"
+
+
+def exact_sites(primers: DataFrame, genome: DataFrame, most: int | None = None) -> DataFrame:
     """gene, side, chrom, start, end, strand: where a primer matches in full on either strand.
 
-    One site per primer and chromosome, the lowest. Primers are configured, at most ``most`` of them: they travel with the
-    function as one automaton, so a chromosome is scanned once for all of them.
+    One site per primer and chromosome, the lowest. Few primers travel with the function as one automaton, so a
+    chromosome is scanned once for all of them; more than ``CARRIED`` are joined with the places of the genome. With
+    ``most``, more primers than that are an error.
     """
-    want = primers.select("gene", "side", F.upper("seq").alias("plus"), reverse_complement(F.upper("seq")).alias("minus")).where("plus <> ''").limit(most + 1).collect()
-    if len(want) > most:
+    want = primers.select("gene", "side", F.upper("seq").alias("plus"), reverse_complement(F.upper("seq")).alias("minus")).where("plus <> ''")
+    few = want.limit((CARRIED if most is None else most) + 1).collect()
+    if most is not None and len(few) > most:
         raise ValueError(f"more than {most} primers")
+    return _joined(want, genome) if len(few) > CARRIED else _scanned(few, genome)
+
+
+def _joined(want: DataFrame, genome: DataFrame) -> DataFrame:
+    """Sites of any number of primers: places of the genome meet primers that begin with the same letters, as many as the shortest has.
 
+    Each place brings as many letters as the longest primer has, so the rest is compared where they meet.
+    """
+    sizes = want.agg(F.min(F.length("plus")), F.max(F.length("plus"))).first()
+    if sizes[0] is None:
+        return _scanned([], genome)
+    least, longest = sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+        for x in batches:
+            out: list[tuple] = []
+            for name, row, seq in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), strict=True):
+                s = (seq.as_py() or "").upper()
+                for k in range(len(s) - least + 1):
+                    out.append((name, row, k + 1, s[k : k + longest]))
+                    if len(out) == 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chrom", "_row", "start", "_at"])
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chrom", "_row", "start", "_at"])
+
+    head = lambda c: F.substring(c, 1, least)
+    rows = genome.select(F.col("id").cast("string").alias("id"), F.monotonically_increasing_id().alias("row"), F.col("seq").cast("string").alias("seq"))
+    spark = genome.sparkSession
+    places = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "row").mapInArrow(run, "chrom string, _row long, start int, _at string").withColumn("_head", head("_at"))
+    # equal rows of one primer give as many sites
+    once = want.groupBy("gene", "side", "plus", "minus").agg(F.count("*").alias("_n"))
+    strands = F.explode(F.array(F.struct(F.col("plus").alias("_word"), F.lit("+").alias("strand")), F.struct(F.col("minus").alias("_word"), F.lit("-").alias("strand"))))
+    asked = once.select("gene", "side", "plus", "_n", strands.alias("x")).select("gene", "side", "plus", "_n", "x.*").withColumn("_head", head("_word"))
+    met = places.join(asked.hint("merge"), "_head").where(F.startswith("_at", "_word"))
+    first = met.groupBy("gene", "side", "plus", "_row", "chrom").agg(F.min(F.struct("start", "strand")).alias("x"), F.first("_n").alias("_n"))
+    out = first.select("gene", "side", "chrom", "x.start", (F.col("x.start") + F.length("plus") - 1).alias("end"), "x.strand", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"))
+    return out.drop("_k")
+
+
+def _scanned(want: list[Row], genome: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -53,7 +101,7 @@ def exact_sites(primers: DataFrame, genome: DataFrame, most: int = 200_000) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["gene", "side", "chrom", "start", "end", "strand"])
 
     rows = genome.select(F.col("id").cast("string").alias("id"), F.col("seq").cast("string").alias("seq"))
-    return rows.mapInArrow(run, "gene string, side string, chrom string, start int, end int, strand string")
+    return rows.mapInArrow(run, _SITES)
 
 
 def perfect_hits(hits: DataFrame, primers: DataFrame) -> DataFrame:
