@@ -6,12 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a table of hits, by the planner's estimate, that one task takes.
+TASK_BYTES = 2 << 20
+
+
 def best_hits(hits: DataFrame) -> DataFrame:
-    """One hit per (query, read): the longest, then with fewest mismatches and gaps, then the first."""
-    order = Window.partitionBy("qseqid", "sseqid").orderBy((F.col("qend") - F.col("qstart")).desc(), "mismatch", "gapopen", "qstart", "sstart")
+    """One hit per (query, read): the longest, then with fewest mismatches and gaps, then the first; in the reads' order, as joins by read need it."""
+    order = Window.partitionBy("sseqid", "qseqid").orderBy((F.col("qend") - F.col("qstart")).desc(), "mismatch", "gapopen", "qstart", "sstart")
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def _tasks(*tables: DataFrame) -> int:
+    """How many tasks share the rows of tables: in proportion to the largest, so what one holds does not grow with it."""
+    spark = tables[0].sparkSession
+    size = max(int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for x in tables)
+    if size >> 50:  # not known
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(20_000, max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
+def best_by_read(*hits: DataFrame) -> list[DataFrame]:
+    """``best_hits`` of each table, dealt out by read: pairs, classes and distinct rows of a read then need no other shuffle."""
+    n = _tasks(*hits)
+    return [best_hits(x.repartition(n, "sseqid")) for x in hits]
+
+
 def with_position(hits: DataFrame) -> DataFrame:
     """posdiff, the distance of a hit from the end of its read, and barpos, the half that it begins in: front or rear."""
     return hits.withColumn("posdiff", F.col("slen") - F.col("sstart")).withColumn("barpos", F.when(F.col("sstart") <= F.col("slen") / 2, "front").otherwise("rear"))
@@ -94,6 +113,5 @@ def demultiplex(forward: DataFrame, reverse: DataFrame, index_list: DataFrame) -
 
     Hits are dealt out by read first: the best hits, their pairs and the classification then need no other shuffle.
     """
-    best = [best_hits(hits.repartition("sseqid")) for hits in (forward, reverse)]
-    classified = classify(opposite_pairs(*best))
+    classified = classify(opposite_pairs(*best_by_read(forward, reverse)))
     return with_samples(demultiplexed(classified), index_list), undemultiplexed(classified)
