@@ -13,12 +13,15 @@ GROUP = ("index_pair_id", "target_gene")
 
 
 def is_intact(aligned: DataFrame, windows: DataFrame, any_gene: bool = False) -> DataFrame:
-    """``aligned`` with ``intact``: whether the pattern is the window of its own gene, or of any gene."""
+    """``aligned`` with ``intact``: whether the pattern is the window of its own gene, or of any gene.
+
+    Windows are configured and few; most reads have one of a few patterns, so they are not shuffled by pattern.
+    """
     known = windows.select(F.col("seq").alias("_seq"), *([] if any_gene else [F.col("gene").alias("_gene")])).distinct().withColumn("_hit", F.lit(True))
     same = aligned.read_seq == F.col("_seq")
     if not any_gene:
         same &= aligned.target_gene == F.col("_gene")
-    return aligned.join(known, same, "left").select(*aligned.columns, F.coalesce("_hit", F.lit(False)).alias("intact"))
+    return aligned.join(F.broadcast(known), same, "left").select(*aligned.columns, F.coalesce("_hit", F.lit(False)).alias("intact"))
 
 
 def pattern_counts(aligned: DataFrame, windows: DataFrame) -> DataFrame:

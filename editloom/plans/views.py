@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def text(x: str) -> str:
@@ -58,18 +59,40 @@ def long_hits(side: str) -> str:
  substr({bases('qseqid')}, qstart, {span}) qseq from ({hits(side)}) h"""
 
 
+def long_columns(side: str) -> dict[str, str]:
+    """What ``long_hits`` adds to a hit, from the columns of a pair's side (f or r)."""
+    span = f"qend_{side} - qstart_{side} + 1"
+    return {
+        f"send_{side}": f"cast(sstart_{side} + qend_{side} - qstart_{side} as int)", f"sseq_{side}": f"substr({bases(text('sseqid'))}, 3, {span})",
+        f"qseq_{side}": f"substr({bases(f'qseqid_{side}')}, qstart_{side}, {span})",
+    }
+
+
 _GENE = "concat('G', cast(l_suppkey % 8 as varchar(2)))"
 WINDOWS = f"select distinct {_GENE} gene, substr({bases(_GENE)}, 1, 21) seq from {{lineitem}}"
 _EDITED = """case when v < t then seq when v < 18 then (case (case when v < 14 then k else (k + 1) % 4 end)
  when 0 then concat(substr(seq, 1, 9), translate(substr(seq, 10, 1), 'ACGT', 'CGTA'), substr(seq, 11))
  when 1 then concat(substr(seq, 1, 10), 'AC', substr(seq, 11)) when 2 then concat(substr(seq, 1, 8), '---', substr(seq, 12))
  else concat(substr(seq, 1, 6), '--', substr(seq, 9, 4), 'GTTCA', substr(seq, 13)) end) else substr(noise, 1, 21) end"""
+_READ = f"""select concat('S', cast(l_linenumber as varchar(2))) index_pair_id, {_GENE} target_gene, l_orderkey read_name, cast(l_partkey % 20 as int) v,
+ cast((l_linenumber * 3 + l_suppkey % 8) % 12 as int) t, cast((l_suppkey % 8 + l_linenumber) % 4 as int) k"""
+_NOISE = bases(text("l_partkey"))
 ALIGNED = f"""select index_pair_id, target_gene, read_name, {_EDITED} read_seq from (
- select concat('S', cast(l_linenumber as varchar(2))) index_pair_id, {_GENE} target_gene, l_orderkey read_name, cast(l_partkey % 20 as int) v,
- cast((l_linenumber * 3 + l_suppkey % 8) % 12 as int) t, cast((l_suppkey % 8 + l_linenumber) % 4 as int) k, {bases(text('l_partkey'))} noise from {{lineitem}}) a
+ {_READ}, {_NOISE} noise from {{lineitem}}) a
  join ({WINDOWS}) w on a.target_gene = w.gene"""
 
 
+def windows(t) -> DataFrame:
+    """The rows of WINDOWS, with a sequence made once a gene."""
+    return t(f"select gene, substr({bases('gene')}, 1, 21) seq from (select distinct {_GENE} gene from {{lineitem}}) g")
+
+
+def aligned(t) -> DataFrame:
+    """The rows of ALIGNED. Genes are few, so reads are not shuffled by gene; noise is made for the reads that have it."""
+    reads = t(f"{_READ}, l_partkey from {{lineitem}}")
+    return reads.join(F.broadcast(windows(t)), F.col("target_gene") == F.col("gene")).selectExpr("index_pair_id", "target_gene", "read_name", f"{_EDITED.replace('noise', _NOISE)} read_seq")
+
+
 def _gapped(letter: str) -> str:
     return bases(*(f"concat('{letter}{n}-', {text('o_orderkey')})" for n in (1, 2, 3)), letters=GAPPED)
 

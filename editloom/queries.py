@@ -68,15 +68,15 @@ GENES = [f"G{k}" for k in range(8)]
 
 
 def _pairs(t) -> DataFrame:
-    return demux.opposite_pairs(t(v.hits("F")), t(v.hits("R")))
+    return demux.opposite_pairs(*demux.best_by_read(t(v.raw_hits("F")), t(v.raw_hits("R"))))
 
 
 def _called(t) -> DataFrame:
-    return genotype.edit_calls(t(v.ALIGNED), t(v.WINDOWS))[1]
+    return genotype.edit_calls(v.aligned(t), v.windows(t))[1]
 
 
 def _calls(t) -> DataFrame:
-    return genotype.edit_calls(t(v.ALIGNED), t(v.WINDOWS))[2]
+    return genotype.edit_calls(v.aligned(t), v.windows(t))[2]
 
 
 # amplicons and sequences
@@ -213,7 +213,9 @@ done as (select * from complete union all select * from single union all select
 lst as (select concat(f_id, '_', r_id) p, arg_min(pair_id, ordinal) pid from ({v.INDEX_LIST}) i group by 1)
 select done.*, concat(qseqid_f, '_', qseqid_r) index_pair, pid index_pair_id from done left join lst on p = concat(qseqid_f, '_', qseqid_r)""")
 def demultiplex_list(t):
-    return demux.demultiplex(t(v.long_hits("F")), t(v.long_hits("R")), t(v.INDEX_LIST))[0]
+    done = demux.demultiplex(t(v.raw_hits("F")), t(v.raw_hits("R")), t(v.INDEX_LIST))[0]
+    more = {c: F.expr(x) for s in "fr" for c, x in v.long_columns(s).items()}  # for the pairs that are kept
+    return done.withColumns(more).select("sseqid", *(f"{c}_{s}" for s in "fr" for c in _ALL), "class", "index_pair", "index_pair_id")
 
 
 # alignment windows
@@ -232,7 +234,7 @@ def window_coverage(t):
 
 @_query(f"select index_pair_id, target_gene, read_name, read_seq, length(read_seq) - length(replace(read_seq, '-', '')) gaps, contains(read_seq, '-') has_gap from ({v.ALIGNED}) a")
 def gap_count(t):
-    a = t(v.ALIGNED)
+    a = v.aligned(t)
     return a.select("*", fn.gap_count(F.col("read_seq")).cast("bigint").alias("gaps"), (F.instr("read_seq", "-") > 0).alias("has_gap"))
 
 
@@ -258,7 +260,7 @@ _LOCATED = f"select gene, concat(substr({v.bases('gene')}, 25, 7), seq, substr({
 
 @_query(f'select w.gene, w.seq, cast(strpos(a.seq, w.seq) as int) "start", cast(strpos(a.seq, w.seq) + length(w.seq) - 1 as int) "end" from ({v.WINDOWS}) w join ({_LOCATED}) a using (gene) where contains(a.seq, w.seq)')
 def window_locate(t):
-    return windows.located(t(v.WINDOWS), t(_LOCATED))
+    return windows.located(v.windows(t), t(_LOCATED))
 
 
 _CHROMS = f"select concat('chr', case when p_partkey < 10 then '0' else '' end, cast(p_partkey as varchar(12))) id, {v.bases(*(f'concat({chr(39)}d{n}-{chr(39)}, {v.text("p_partkey")})' for n in (1, 2, 3)))} seq from {{part}}"
@@ -273,18 +275,18 @@ def target_windows(t):
 
 @_query(f"select a.*, exists (select 1 from ({v.WINDOWS}) w where w.gene = a.target_gene and w.seq = a.read_seq) intact from ({v.ALIGNED}) a")
 def intact_own_gene(t):
-    return genotype.is_intact(t(v.ALIGNED), t(v.WINDOWS))
+    return genotype.is_intact(v.aligned(t), v.windows(t))
 
 
 @_query(f"select a.*, a.read_seq in (select seq from ({v.WINDOWS}) w) intact from ({v.ALIGNED}) a")
 def intact_any_gene(t):
-    return genotype.is_intact(t(v.ALIGNED), t(v.WINDOWS), any_gene=True)
+    return genotype.is_intact(v.aligned(t), v.windows(t), any_gene=True)
 
 
 @_query(f"with {_SAMPLED}, a as ({v.ALIGNED}) select a.target_gene, a.read_name, a.read_seq, i7_index, i5_index, s.index_pair_id from a left join (select distinct sseqid, qseqid_f i7_index, qseqid_r i5_index, index_pair_id from sampled) s on s.sseqid = a.read_name")
 def align_fanout(t):
     done = demux.with_samples(demux.demultiplexed(demux.classify(_pairs(t))), t(v.INDEX_LIST))
-    return windows.with_samples(t(v.ALIGNED).drop("index_pair_id"), done)
+    return windows.with_samples(v.aligned(t).drop("index_pair_id"), done)
 
 
 # genotypes
@@ -292,17 +294,17 @@ def align_fanout(t):
 
 @_query(f"with {_CALLED} select * from counts")
 def pattern_counts(t):
-    return genotype.pattern_counts(t(v.ALIGNED), t(v.WINDOWS))
+    return genotype.pattern_counts(v.aligned(t), v.windows(t))
 
 
 @_query(f'with {_CALLED} select * from counts where "count" > 4')
 def min_count_filter(t):
-    return genotype.frequent(genotype.pattern_counts(t(v.ALIGNED), t(v.WINDOWS)))
+    return genotype.frequent(genotype.pattern_counts(v.aligned(t), v.windows(t)))
 
 
 @_query(f'with {_CALLED} select * exclude top from tops where "count" > top * 0.5')
 def allele_top_half(t):
-    return genotype.top_alleles(genotype.frequent(genotype.pattern_counts(t(v.ALIGNED), t(v.WINDOWS))))
+    return genotype.top_alleles(genotype.frequent(genotype.pattern_counts(v.aligned(t), v.windows(t))))
 
 
 @_query(f"with {_CALLED} select * from called")
@@ -312,7 +314,7 @@ def intact_ratio(t):
 
 @_query(f"with {_LABELS} select * from labels")
 def genotype_labels(t):
-    return genotype.labelled(_called(t), t(v.WINDOWS))
+    return genotype.labelled(_called(t), v.windows(t))
 
 
 @_query(f"with {_CALLS} select * from calls")
@@ -342,12 +344,12 @@ j as (select *, aligned / sum(aligned) over () ap, case when aligned > 0 then ed
 select gene, aligned, {_SIGNIF('ap')} * 100 aligned_pct, editcalled, case when ep is not null then {_SIGNIF('ep')} * 100 end editcalled_pct, non_indexed, case when np is not null then {_SIGNIF('np')} * 100 end non_indexed_pct from j""")
 def reads_per_gene(t):
     rest = demux.undemultiplexed(demux.classify(_pairs(t)))
-    return report.reads_per_gene(t(v.ALIGNED), _called(t), report.non_indexed(t(v.ALIGNED), rest))
+    return report.reads_per_gene(v.aligned(t), _called(t), report.non_indexed(v.aligned(t), rest))
 
 
 @_query(f"select target_gene as \"key\", count(*) n, count(*) / sum(count(*)) over () proportion from ({v.ALIGNED}) a group by 1")
 def gene_proportions(t):
-    return report.counts_by(t(v.ALIGNED), "target_gene")
+    return report.counts_by(v.aligned(t), "target_gene")
 
 
 @_query(f"with {_CLASSIFIED}, {_DONE} select count(distinct sseqid) n_distinct, count(sseqid) - count(distinct sseqid) n_repeated from done")
@@ -369,12 +371,12 @@ select x.ordinal, x.label, cast(x.n as bigint) n, case when x.ordinal > 0 then {
 def read_stats(t):
     classified = demux.classify(_pairs(t))
     raw = t("select o_orderkey id, o_totalprice from {orders}")
-    return report.read_stats(raw, raw.where("o_totalprice > 1000"), report.assigned_of(classified), t(v.ALIGNED), _called(t))
+    return report.read_stats(raw, raw.where("o_totalprice > 1000"), report.assigned_of(classified), v.aligned(t), _called(t))
 
 
 @_query(f"with {_CLASSIFIED}, {_REST}, aligned as ({v.ALIGNED}), {_LATE} select * from late")
 def non_indexed_reads(t):
-    return report.non_indexed(t(v.ALIGNED), demux.undemultiplexed(demux.classify(_pairs(t))))
+    return report.non_indexed(v.aligned(t), demux.undemultiplexed(demux.classify(_pairs(t))))
 
 
 _LABELS_OF = (("", "cast(\"key\" as varchar)"), ("Aligned reads per gene", "cast(n as varchar)"), ("Proportion of aligned reads per gene", f"regexp_replace(cast(round({_SIGNIF('p')} * 100, 10) as varchar), '\\.0$', '')"))
@@ -383,7 +385,7 @@ _LABELS_OF = (("", "cast(\"key\" as varchar)"), ("Aligned reads per gene", "cast
 @_query(f"with c as (select target_gene \"key\", count(*) n, count(*) / sum(count(*)) over () p, row_number() over (order by target_gene) k from ({v.ALIGNED}) a group by 1), l as ("
         + " union all ".join(f"select {k} ordinal, '{label}' label, k, {x} val from c" for k, (label, x) in enumerate(_LABELS_OF)) + ") select ordinal, label, " + ", ".join(f"max(case when k = {k} then val end) c{k}" for k in range(1, 9)) + " from l group by all")
 def report_matrix(t):
-    counted = report.counts_by(t(v.ALIGNED), "target_gene").withColumn("pct", fn.percent(F.col("proportion"), F.lit(1.0)))
+    counted = report.counts_by(v.aligned(t), "target_gene").withColumn("pct", fn.percent(F.col("proportion"), F.lit(1.0)))
     return report.labelled_rows([(counted, "key", tuple((label, c) for (label, _), c in zip(report.GENE_ROWS, ("n", "pct"))))])
 
 

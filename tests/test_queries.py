@@ -38,3 +38,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 56
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["align_fanout", "read_stats", "demultiplex_list"])
+def test_few_shuffles_by_read_and_none_by_gene(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = own.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    dealt = [x.split("hashpartitioning(")[1].split("),")[0] for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert not any(x.startswith(("target_gene#", "qseqid#")) and x.count("#") == 1 for x in dealt)
+    assert sum(x.startswith("qseqid#") and "sseqid#" in x for x in dealt) == 0
